@@ -18,6 +18,7 @@ def build_session(master: str | None = None, app: str = "seqloom", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
