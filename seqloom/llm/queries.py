@@ -7,11 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import mixing, packing, splitting
+from seqloom.llm import density, mixing, packing, similar, splitting
 from seqloom.llm.tokens import token_count
 from seqloom.session import cut, read
 
 LIMIT, OVERLAP = 2048, 64
+DIMS, MIN_LENGTH, NEAREST, NEAR, LINK, LEAST = 136, 1500, 5, 0.0015, 0.05, 5
+
+
+def _tnf(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "tnf_vec").where(F.col("contig_len") >= MIN_LENGTH)
+    return rows.select(F.col("contig_idx").alias("id"), F.col("freqs").alias("vec"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar.mutual_pairs(_tnf(spark, d), NEAR, NEAREST, DIMS)
+    return pairs.select(F.col("id_a").alias("contig_a"), F.col("id_b").alias("contig_b"))
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest contigs by ``freqs`` of every contig whose index is divisible by 20, against all contigs."""
+    rows = _tnf(spark, d)
+    return similar.neighbours(rows, rows.where("id % 20 = 0").dropDuplicates(["id"]), NEAREST, DIMS)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return density.chained(_tnf(spark, d), LINK, LEAST, DIMS).withColumnRenamed("id", "contig_idx")
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -53,10 +74,33 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+    "p6_found": p6_found,
     "p7_pack": p7_pack, "p7_report": p7_report,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_pieces": p9_pieces,
 }
 
-# tokens are beyond SQL; these queries are tested against plain versions instead
-ORACLE: dict[str, str] = {}
+_WHOLE = """
+v as (
+  select contig_idx as id, any_value(freqs) as f from tnf_vec
+  where contig_len >= 1500 and len(freqs) = 136 and len(list_filter(freqs, lambda x: x is null or isnan(x))) = 0 group by 1)
+"""
+# tokens are beyond SQL; those queries are tested against plain versions instead
+ORACLE: dict[str, str] = {
+    "p4_found": f"""with {_WHOLE},
+      d as (select a.id as a, b.id as b, list_distance(a.f, b.f) as d from v a join v b on a.id <> b.id),
+      r as (select *, row_number() over (partition by a order by d, b) as n from d)
+      select x.a as contig_a, x.b as contig_b from r x join r y on x.a = y.b and x.b = y.a
+      where x.a < x.b and x.n <= 5 and y.n <= 5 and x.d <= 0.0015""",
+    "p4_neighbours": f"""with {_WHOLE},
+      d as (select a.id, b.id as neighbour, list_distance(a.f, b.f) as distance from v a join v b on a.id <> b.id where a.id % 20 = 0),
+      r as (select *, row_number() over (partition by id order by distance, neighbour) as rank from d)
+      select id, neighbour, distance, cast(rank as int) as rank from r where rank <= 5""",
+    "p6_found": f"""with recursive {_WHOLE},
+      e as (select a.id as a, b.id as b from v a join v b on a.id <> b.id where list_distance(a.f, b.f) <= 0.05),
+      walk as (select id, id as root from v union select e.b, w.root from walk w join e on e.a = w.id where w.root < e.b),
+      low as (select id, min(root) as root from walk group by 1),
+      sized as (select root, count(*) as n from low group by 1)
+      select low.id as contig_idx, low.root as cluster_key from low join sized using (root) where n >= 5""",
+}
