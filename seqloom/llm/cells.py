@@ -183,26 +183,23 @@ def sample_of(rows: DataFrame, n_rows: int, dims: int | None) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros((0, dims or 1))
 
 
-def tiles(
-    rows: DataFrame, radius: float, kernel: Callable[[pa.Table, int, int], pa.Table], schema: str, dims: int | None = None,
-    block_rows: int = 8192, cells: Cells | None = None,
-) -> DataFrame:
-    """*kernel* on every pair of blocks that can hold vectors within *radius*.
-
-    *rows*: ``id long, vec array<double>``. The kernel gets a table of the columns
-    of ROWS and the two block numbers; in a table of one block (bi = bj) all rows
-    have side 0. A class at home in the block bi of a table with bi = bj brings its
-    ids there, so each id comes up exactly once there as a home row.
+def fitted(rows: DataFrame, radius: float, dims: int, block_rows: int) -> Cells:
+    """Cells for *rows*, from its sample."""
+    n_rows = rows.count()
+    return fit(sample_of(rows, n_rows, dims), n_rows, radius, block_rows)
+
+
+def blocks(rows: DataFrame, cells: Cells, dims: int) -> DataFrame:
+    """The columns of ROWS: each class of *rows* (``id long, vec array<double>``) in every pair of blocks it has to meet.
+
+    In a pair of one block (bi = bj) all rows have side 0. A class at home in block
+    bi brings its ids to the pair (bi, bi), so each id comes up exactly once.
     """
-    if cells is None:
-        n_rows = rows.count()
-        sample = sample_of(rows, n_rows, dims)
-        cells = fit(sample, n_rows, radius, block_rows)
-    width = dims or (cells.axes.shape[1])
+    radius = cells.radius
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x, _ = vectors(batch, width)
+            ids, x, _ = vectors(batch, dims)
             if not len(ids):
                 continue
             names, row, members = classes(ids, x)
@@ -232,10 +229,16 @@ def tiles(
                 _ROWS,
             )
 
+    return rows.select("id", "vec").mapInArrow(assign, ROWS)
+
+
+def tiles(placed: DataFrame, kernel: Callable[[pa.Table, int, int], pa.Table], schema: str) -> DataFrame:
+    """*kernel* on the table of every pair of blocks, with the two block numbers."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         return kernel(table, key[1].as_py(), key[2].as_py())
 
-    return rows.select("id", "vec").mapInArrow(assign, ROWS).groupBy("cell", "bi", "bj").applyInArrow(run, schema)
+    return placed.groupBy("cell", "bi", "bj").applyInArrow(run, schema)
 
 
 @dataclass
@@ -245,6 +248,7 @@ class Side:
     names: np.ndarray
     home: np.ndarray
     x: np.ndarray
+    core: np.ndarray
 
 
 def sides(table: pa.Table, bi: int, bj: int) -> tuple[Side, Side]:
@@ -253,13 +257,14 @@ def sides(table: pa.Table, bi: int, bj: int) -> tuple[Side, Side]:
     home = table["home"].to_numpy(zero_copy_only=False)
     vec = table["vec"].combine_chunks()
     vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
+    core = table["core"].to_numpy() if "core" in table.column_names else np.zeros(len(names))
 
     def one(rows: np.ndarray) -> Side:
         _, first = np.unique(names[rows], return_index=True)
         rows = rows[first]
         picked = vec.take(pa.array(rows))
         flat = np.frombuffer(b"".join(picked.to_pylist()), float)
-        return Side(names[rows], home[rows], flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 1)))
+        return Side(names[rows], home[rows], flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 1)), core[rows])
 
     left = one(np.flatnonzero(side == 0))
     return (left, left) if bi == bj else (left, one(np.flatnonzero(side == 1)))

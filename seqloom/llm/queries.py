@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import density, mixing, packing, similar, splitting
+from seqloom.llm import density, mixing, overlaps, packing, similar, splitting
 from seqloom.llm.tokens import token_count
 from seqloom.session import cut, read
 
@@ -20,6 +20,21 @@ def _tnf(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("contig_idx").alias("id"), F.col("freqs").alias("vec"))
 
 
+def _overlaps(spark: SparkSession, d: str, share: float) -> DataFrame:
+    joins = read(spark, d, "sketch").select(F.col("contig_idx").alias("set_id"), F.col("hashes").alias("items"), F.lit(1).alias("sign"))
+    found = overlaps.estimates(overlaps.apply_changes(None, joins, keep_members=False), share)
+    return found.withColumnsRenamed({"a": "contig_a", "b": "contig_b", "common": "common_hashes"})
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d, 0.5).select("contig_a", "contig_b")
+
+
+def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, Jaccard index and containment of the pairs that share at least a tenth of the smaller set."""
+    return _overlaps(spark, d, 0.1)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = similar.mutual_pairs(_tnf(spark, d), NEAR, NEAREST, DIMS)
     return pairs.select(F.col("id_a").alias("contig_a"), F.col("id_b").alias("contig_b"))
@@ -73,9 +88,27 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(read(spark, d, "documents"), LIMIT, OVERLAP)
 
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return density.cluster(_tnf(spark, d), DIMS, LINK)
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each contig's cluster (by its smallest contig; null for outliers) and how densely it sits in it."""
+    rows = cut(_clusters(spark, d))
+    keys = rows.where("cluster is not null").groupBy("cluster").agg(F.min("id").alias("cluster_key"))
+    return rows.join(keys, "cluster", "left").select(F.col("id").alias("contig_idx"), "cluster_key", "density")
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster's size in contigs and base pairs and its five most typical contigs."""
+    lengths = read(spark, d, "tnf_vec").groupBy(F.col("contig_idx").alias("id")).agg(F.max("contig_len").alias("length"))
+    return density.describe(_clusters(spark, d), lengths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found, "p3_overlaps": p3_overlaps,
     "p4_found": p4_found, "p4_neighbours": p4_neighbours,
-    "p6_found": p6_found,
+    "p6_found": p6_found, "p6_members": p6_members, "p6_clusters": p6_clusters,
     "p7_pack": p7_pack, "p7_report": p7_report,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_pieces": p9_pieces,
@@ -86,8 +119,19 @@ v as (
   select contig_idx as id, any_value(freqs) as f from tnf_vec
   where contig_len >= 1500 and len(freqs) = 136 and len(list_filter(freqs, lambda x: x is null or isnan(x))) = 0 group by 1)
 """
+_SETS = """
+m as (select distinct contig_idx as s, unnest(hashes) as h from sketch),
+n as (select s, count(h) as n from m group by 1),
+o as (
+  select a.s as contig_a, b.s as contig_b, count(*) as common_hashes from m a join m b on a.h = b.h and a.s < b.s group by 1, 2),
+p as (select o.*, x.n as n_a, y.n as n_b from o join n x on x.s = contig_a join n y on y.s = contig_b)
+"""
 # tokens are beyond SQL; those queries are tested against plain versions instead
 ORACLE: dict[str, str] = {
+    "p3_found": f"with {_SETS} select contig_a, contig_b from p where common_hashes >= 0.5 * least(n_a, n_b)",
+    "p3_overlaps": f"""with {_SETS} select contig_a, contig_b, common_hashes, n_a, n_b,
+      common_hashes / (n_a + n_b - common_hashes) as jaccard, common_hashes / least(n_a, n_b) as containment
+      from p where common_hashes >= 0.1 * least(n_a, n_b)""",
     "p4_found": f"""with {_WHOLE},
       d as (select a.id as a, b.id as b, list_distance(a.f, b.f) as d from v a join v b on a.id <> b.id),
       r as (select *, row_number() over (partition by a order by d, b) as n from d)

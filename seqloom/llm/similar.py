@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.cells import Side, classes, fit, members, sample_of, sides, tiles, vectors
+from seqloom.llm.cells import Side, blocks, classes, fitted, members, sides, tiles, vectors
 from seqloom.session import cut
 
 EDGES = "a long, b long, distance double, id long"
@@ -104,7 +104,7 @@ def tile_pairs(left: Side, right: Side, radius: float) -> tuple[np.ndarray, np.n
     return np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
 
 
-def edges_within(rows: DataFrame, radius: float, k: int, dims: int | None = None, block_rows: int = 8192) -> DataFrame:
+def edges_within(rows: DataFrame, radius: float, k: int, dims: int, block_rows: int = 8192) -> DataFrame:
     """Per tile, each class's k nearest classes within *radius* (``a, b, distance``), and class members (``a, id``)."""
 
     def kernel(table: pa.Table, bi: int, bj: int) -> pa.Table:
@@ -119,10 +119,10 @@ def edges_within(rows: DataFrame, radius: float, k: int, dims: int | None = None
             }
         )
 
-    return tiles(rows, radius, kernel, EDGES, dims, block_rows)
+    return tiles(blocks(rows, fitted(rows, radius, dims, block_rows), dims), kernel, EDGES)
 
 
-def mutual_pairs(rows: DataFrame, radius: float, k: int, dims: int | None = None) -> DataFrame:
+def mutual_pairs(rows: DataFrame, radius: float, k: int, dims: int) -> DataFrame:
     """``id_a < id_b, distance``: ids at most *radius* apart, each among the other's k nearest."""
     found = cut(edges_within(rows, radius, k, dims))
     # of a class, only its k + 1 smallest ids can be among anyone's k nearest
@@ -148,9 +148,8 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, dims: int, block_row
     it visits the blocks that can hold something nearer. Base rows lie once in their
     block (once for each chunk of queries).
     """
-    n_rows, n_queries = rows.count(), queries.count()
-    cells = fit(sample_of(rows, n_rows, dims), n_rows, 0.0, block_rows)
-    chunks = max(1, -(-n_queries // query_chunk))
+    cells = fitted(rows, 0.0, dims, block_rows)
+    chunks = max(1, -(-queries.count() // query_chunk))
     sparse = len(cells.pivots)
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +231,12 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, dims: int, block_row
         return pa.table({"id": ids[kept], "neighbour": near[kept], "distance": d[kept]})
 
     out = "id long, neighbour long, distance double"
-    blocks = rows.select("id", "vec").mapInArrow(base, _SIDES)
+    stored = rows.select("id", "vec").mapInArrow(base, _SIDES)
     to = W.partitionBy("id").orderBy("distance", "neighbour")
 
     def round_(asking: DataFrame, second: bool) -> DataFrame:
         spots = asking.select("id", "vec", "bound").mapInArrow(lambda it: ask(it, second), _SIDES)
-        found = blocks.unionByName(spots).groupBy("cell", "block", "chunk").applyInArrow(search, out)
+        found = stored.unionByName(spots).groupBy("cell", "block", "chunk").applyInArrow(search, out)
         return found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")).withColumn("rank", F.row_number().over(to)).where(F.col("rank") <= k)
 
     infinite = F.lit(float("inf"))
