@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: set[str] = set()
+
 
 def build_session(master: str | None = None, app: str = "seqloom", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; *conf* (``a__b`` for ``a.b``) wins."""
@@ -46,10 +50,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _remove(path: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone, with its folder
+        return
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """*df*, computed once and kept in the shared folder, so that losing an executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """*df*, computed once and kept as a table in the shared folder, so that losing an executor loses nothing.
+
+    A table rather than ``checkpoint()``: the plan that reads it starts anew, while
+    a checkpoint hands on the constraints of the plan that made it, which double
+    with every join of an iteration. Files are removed when the program ends.
+    """
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
