@@ -119,10 +119,10 @@ def fit(sample: np.ndarray, n_rows: int, radius: float, block_rows: int) -> Cell
     m, dims = sample.shape
     best = (float(m) ** 2, np.zeros((0, dims)), 0.0)
     if m > 8:
-        d = distances(sample, sample).astype(np.float32)
-        near = float(np.median(np.partition(d, 5, axis=1)[:, 5]))
-        for reach in sorted({max(near, 1e-12) * f for f in (1, 1.5, 2, 3, 4, 6)}):
-            groups = _cover(d <= reach, MAX_PIVOTS, 4)
+        d = distances(sample.astype(np.float32), sample.astype(np.float32))
+        nearest = np.partition(d, 5, axis=1)[:, 5]
+        for reach in sorted({max(float(q), 1e-12) * f for q in np.quantile(nearest, (0.1, 0.5)) for f in (1, 1.5, 2, 3, 4, 6, 8)}):
+            groups = _cover(d <= reach, MAX_PIVOTS, 3)
             if not groups:
                 continue
             pivots = np.array([sample[g].mean(0) for g in groups])

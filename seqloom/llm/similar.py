@@ -1,10 +1,10 @@
 """Most similar vectors for every vector: a block matrix join.
 
-In a tile of two blocks, vectors are coded as int8 around the tile's mean, each
-with its own scale. The product of the codes is exact in float arithmetic (its
-sums stay below 2^24, else it is taken in doubles), and gives the distance of
-the decoded vectors; with the two coding errors as bounds, only pairs that can
-lie within the radius survive. Survivors are computed again from the doubles,
+In a tile of two blocks, vectors are coded as int8 around the tile's mean. The
+product of the codes is exact in float arithmetic (its sums stay below 2^22,
+else it is taken in doubles), and gives the distance of the decoded vectors;
+with the two coding errors as bounds, only pairs that can lie within the radius
+survive. Survivors are computed again from the doubles,
 and each row's k best of the tile go on to be merged.
 
 Defined results: vectors that are null, hold null, NaN or infinity, or have
@@ -31,34 +31,35 @@ EDGES = "a long, b long, distance double, id long"
 STRIP = 512
 
 
-class Codes:
-    """int8 codes of vectors around a common middle."""
+def survivors(x: np.ndarray, y: np.ndarray, radius: float | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows whose distance may be at most *radius* (one, or one for each row of x), strip by strip of x.
 
-    def __init__(self, x: np.ndarray, middle: np.ndarray) -> None:
-        x = x - middle
-        self.scale = np.abs(x).max(1, initial=0) / 127
-        code = np.rint(x / np.where(self.scale > 0, self.scale, 1)[:, None])
-        self.error = np.linalg.norm(x - code * self.scale[:, None], axis=1)
-        self.code = code.astype(np.int8)
-        self.square = (code * code).sum(1) * self.scale**2
-
-
-def survivors(x: Codes, y: Codes, radius: float | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) whose distance may be at most *radius* (one, or one for each row of x), strip by strip of x."""
-    exact = np.float32 if x.code.shape[1] * 127**2 < 2**24 else np.float64
-    right = np.ascontiguousarray(y.code.T).astype(exact)
-    r = np.broadcast_to(np.asarray(radius, float), len(x.code))
-    for at in range(0, len(x.code), STRIP):
+    Both sides are coded as int8 around their mean, in one scale s. With codes c, d
+    and coding errors e, f, a pair within the radius has
+    ``s^2 (|c|^2 + |d|^2 - 2 cd) <= (radius + e + f)^2``. The product comes with
+    ``-|d|^2 / 2`` as one more column, so one comparison a pair is all there is.
+    """
+    middle = (x.sum(0) + y.sum(0)) / (len(x) + len(y))
+    scale = max(np.abs(x - middle).max(initial=0), np.abs(y - middle).max(initial=0)) / 127 or 1.0
+    # the sums of a product are whole or half numbers, exact in single precision up to 2^22
+    exact = np.float32 if x.shape[1] * 127**2 < 2**22 else np.float64
+
+    def coded(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code = np.rint((z - middle) / scale).astype(np.int8)
+        error = np.linalg.norm(z - middle - code * scale, axis=1)
+        return code, error, np.square(code.astype(np.int32)).sum(1)
+
+    left, e, c2 = coded(x)
+    right, f, d2 = (left, e, c2) if y is x else coded(y)
+    columns = np.empty((y.shape[1] + 1, len(y)), exact)
+    columns[:-1], columns[-1] = right.T, -d2 / 2
+    reach = np.minimum((np.broadcast_to(np.asarray(radius, float), len(x)) + e + f.max(initial=0)) / scale, 1e15)
+    least = ((c2 - reach * reach * (1 + 1e-9)) / 2 - 0.1).astype(exact)
+    for at in range(0, len(x), STRIP):
         to = slice(at, at + STRIP)
-        product = x.code[to].astype(exact) @ right
-        product *= (-2 * x.scale[to]).astype(exact)[:, None]
-        product *= y.scale.astype(exact)
-        product += x.square[to].astype(exact)[:, None]
-        product += y.square.astype(exact)
-        # the bound, wider by what the float arithmetic above can lose
-        reach = (r[to] + x.error[to])[:, None] + y.error
-        reach = reach * reach + 1e-6 * (x.square[to][:, None] + y.square)
-        i, j = np.nonzero(product <= reach)
+        rows = np.ones((len(left[to]), x.shape[1] + 1), exact)
+        rows[:, :-1] = left[to]
+        i, j = np.nonzero(rows @ columns >= least[to][:, None])
         yield i + at, j
 
 
@@ -88,11 +89,8 @@ def tile_pairs(left: Side, right: Side, radius: float) -> tuple[np.ndarray, np.n
     same = left is right
     if not len(left.x) or not len(right.x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    middle = (left.x.sum(0) + right.x.sum(0)) / (len(left.x) + len(right.x))
-    x = Codes(left.x, middle)
-    y = x if same else Codes(right.x, middle)
     parts = []
-    for i, j in survivors(x, y, radius):
+    for i, j in survivors(left.x, right.x, radius):
         keep = left.home[i] | right.home[j]
         if same:
             keep &= i < j
@@ -209,14 +207,12 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, dims: int, block_row
         _, first = np.unique(names[b], return_index=True)
         b = b[first]
         y = np.frombuffer(b"".join(vec[i] for i in b), float).reshape(len(b), -1)
-        middle = y.mean(0)
-        cx, cy = Codes(x, middle), Codes(y, middle)
         bound = table["bound"].to_numpy()[q]
         if not np.isfinite(bound).all():  # first round: an upper bound from the codes of the first rows
             some = min(len(y), 4 * (k + 1))
             bound = np.minimum(bound, np.sort(np.stack([measured(x, y, np.arange(len(x)), np.full(len(x), j)) for j in range(some)], 1), axis=1)[:, min(some, k + 1) - 1] if some > k else np.inf)
         parts = []
-        for i, j in survivors(cx, cy, np.minimum(bound, 1e150)):
+        for i, j in survivors(x, y, np.minimum(bound, 1e30)):
             d = measured(x, y, i, j)
             kept = best(i, d, k + 1)
             parts.append((i[kept], j[kept], d[kept]))
