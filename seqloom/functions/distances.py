@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.arrays import let, total
+
 # fixed values: Hart's (1968) rational approximation of the normal tail as given by West (2005)
 TAIL_TOP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 TAIL_BOTTOM = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
@@ -21,44 +25,51 @@ def horner(a: Column, terms: tuple[float, ...]) -> Column:
     return out
 
 
-def normal_cdf(x: Column) -> Column:
-    """The standard normal distribution function, to about 2e-16."""
-    a = F.abs(x)
+def normal_cdf(x: Column, a: Column) -> Column:
+    """The standard normal distribution function of *x*, whose absolute value is *a*, to about 2e-16."""
     e = F.exp(-a * a / 2)
     far = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + F.lit(0.65)))))
     tail = F.when(a > TAIL_FAR, 0.0).when(a < TAIL_NEAR, e * horner(a, TAIL_TOP) / horner(a, TAIL_BOTTOM)).otherwise(e / far / ROOT_TWO_PI)
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
-def overlap_area(mean_a: Column, var_a: Column, mean_b: Column, var_b: Column, strict: bool = False) -> Column:
-    """Area between the normal densities of one sample's depths in two contigs; null if the sample tells nothing.
+def with_overlap_area(df: DataFrame, mean_a: str, var_a: str, mean_b: str, var_b: str, out: str = "area", strict: bool = False) -> DataFrame:
+    """*df* with the area between the normal densities of one sample's depths in two contigs; null if the sample tells nothing.
 
     Means and variances are shifted by 1e-7, variances raised to 1. A sample where
     both means are absent tells nothing. *strict* gives the area of two nearly equal
     variances its sign (the first argument's side on ties) and skips equal means
     altogether; else the area is positive, and equal means of equal variances are as
-    near as can be.
+    near as can be. Null means or variances give null.
+
+    The formula is laid out in stages, as one expression it would repeat its parts
+    beyond what can be compiled.
     """
-    ma, mb = mean_a + SHIFT, mean_b + SHIFT
-    va, vb = F.greatest(var_a + SHIFT, F.lit(LEAST_VARIANCE)), F.greatest(var_b + SHIFT, F.lit(LEAST_VARIANCE))
-    gap = va - vb
-    same = F.abs(gap) < SAME_VARIANCE
-    safe = F.when(same, F.lit(1.0)).otherwise(gap)
-    root = F.sqrt(va * vb * ((ma - mb) * (ma - mb) - 2 * gap * F.ln(F.sqrt(vb / va))))
-    k1 = F.when(same, (ma + mb) / 2).otherwise((root - ma * vb + mb * va) / safe)
-    k2 = F.when(same, (ma + mb) / 2).otherwise((root + ma * vb - mb * va) / -safe)
-    low, high = F.least(k1, k2), F.greatest(k1, k2)
-    swap = va > vb
-    m1, s1 = F.when(swap, mb).otherwise(ma), F.sqrt(F.when(swap, vb).otherwise(va))
-    m2, s2 = F.when(swap, ma).otherwise(mb), F.sqrt(F.when(swap, va).otherwise(vb))
-    first_low, second_low = normal_cdf((low - m1) / s1), normal_cdf((low - m2) / s2)
-    first_high, second_high = normal_cdf((high - m1) / s1), normal_cdf((high - m2) / s2)
-    single = first_low - second_low
-    area = F.when(F.abs(low - high) < SHIFT, single if strict else F.abs(single)).otherwise(F.abs(first_high - first_low + second_low - second_high))
-    present = (ma > SHIFT) | (mb > SHIFT)
-    if strict:
-        return F.when(present & (ma != mb), area)
-    return F.when(present, F.greatest(F.when((ma == mb) & same, F.lit(0.0)).otherwise(area), F.lit(FLOOR)))
+    c = lambda n: F.col(f"__{n}")
+    whole = reduce(lambda x, y: x & y, (F.col(n).isNotNull() for n in (mean_a, var_a, mean_b, var_b)))
+    rows = df.withColumns({"__ma": F.col(mean_a) + SHIFT, "__mb": F.col(mean_b) + SHIFT, "__va": F.greatest(F.col(var_a) + SHIFT, F.lit(LEAST_VARIANCE)), "__vb": F.greatest(F.col(var_b) + SHIFT, F.lit(LEAST_VARIANCE))})
+    gap = c("va") - c("vb")
+    root = F.sqrt(c("va") * c("vb") * ((c("ma") - c("mb")) * (c("ma") - c("mb")) - 2 * gap * F.ln(F.sqrt(c("vb") / c("va")))))
+    rows = rows.withColumns({"__same": F.abs(gap) < SAME_VARIANCE, "__root": root, "__swap": c("va") > c("vb")})
+    safe, middle = F.when(c("same"), F.lit(1.0)).otherwise(gap), (c("ma") + c("mb")) / 2
+    pick = lambda x, y: F.when(c("swap"), c(y)).otherwise(c(x))
+    rows = rows.withColumns(
+        {
+            "__k1": F.when(c("same"), middle).otherwise((c("root") - c("ma") * c("vb") + c("mb") * c("va")) / safe),
+            "__k2": F.when(c("same"), middle).otherwise((c("root") + c("ma") * c("vb") - c("mb") * c("va")) / -safe),
+            "__m1": pick("ma", "mb"), "__s1": F.sqrt(pick("va", "vb")), "__m2": pick("mb", "ma"), "__s2": F.sqrt(pick("vb", "va")),
+        }
+    )
+    low, high = F.least(c("k1"), c("k2")), F.greatest(c("k1"), c("k2"))
+    points = {"__z1": (low - c("m1")) / c("s1"), "__z2": (low - c("m2")) / c("s2"), "__z3": (high - c("m1")) / c("s1"), "__z4": (high - c("m2")) / c("s2")}
+    rows = rows.withColumns(points)
+    rows = rows.withColumns({f"__a{i}": F.abs(c(f"z{i}")) for i in range(1, 5)})
+    rows = rows.withColumns({f"__f{i}": normal_cdf(c(f"z{i}"), c(f"a{i}")) for i in range(1, 5)})
+    single = c("f1") - c("f2")
+    rows = rows.withColumn("__area", F.when(F.abs(c("k1") - c("k2")) < SHIFT, single if strict else F.abs(single)).otherwise(F.abs(c("f3") - c("f1") + c("f2") - c("f4"))))
+    told = whole & ((c("ma") > SHIFT) | (c("mb") > SHIFT))
+    area = F.when(told & (c("ma") != c("mb")), c("area")) if strict else F.when(told, F.greatest(F.when((c("ma") == c("mb")) & c("same"), F.lit(0.0)).otherwise(c("area")), F.lit(FLOOR)))
+    return rows.withColumn(out, area).drop(*(n for n in rows.columns if n.startswith("__") and n not in df.columns))
 
 
 def coverage_distance(area: Column) -> Column:
@@ -68,24 +79,28 @@ def coverage_distance(area: Column) -> Column:
     return F.when(mean.isNull() | F.isnan(mean), 1.0).otherwise(mean)
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-
-
 def euclidean(x: Column, y: Column) -> Column:
     """Of two arrays; null if either is null or their lengths differ."""
-    return F.when(F.size(x) == F.size(y), F.sqrt(_sum(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)))))
+    return F.when(F.size(x) == F.size(y), F.sqrt(total(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)))))
 
 
 def proportionality(x: Column, y: Column) -> Column:
     """(1 - rho) / 2 of two arrays: 0 if neither varies, 1 if the centred product is 0 or anything is NaN."""
     n = F.size(x).cast("double")
-    mx, my = _sum(x) / n, _sum(y) / n
-    dot = _sum(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
-    both = _sum(F.transform(x, lambda a: (a - mx) * (a - mx))) + _sum(F.transform(y, lambda b: (b - my) * (b - my)))
-    rho = F.lit(0.5) - F.try_divide(dot, both)
-    out = F.when(both == 0, 0.0).when((dot == 0) | F.isnan(dot) | F.isnan(both), 1.0).otherwise(rho)
-    return F.when((n > 0) & (F.size(x) == F.size(y)), out)
+
+    def centred(z: Column) -> Column:
+        return let(total(z) / n, lambda m: F.transform(z, lambda v: v - m))
+
+    def rho(c: Column, e: Column) -> Column:
+        square = lambda z: total(F.transform(z, lambda v: v * v))
+        parts = F.struct(total(F.zip_with(c, e, lambda a, b: a * b)).alias("dot"), (square(c) + square(e)).alias("both"))
+        return let(
+            parts,
+            lambda p: F.when(p["both"] == 0, 0.0).when((p["dot"] == 0) | F.isnan(p["dot"]) | F.isnan(p["both"]), 1.0).otherwise(F.lit(0.5) - F.try_divide(p["dot"], p["both"])),
+        )
+
+    value = let(centred(x), lambda c: let(centred(y), lambda e: rho(c, e)))
+    return F.when((n > 0) & (F.size(x) == F.size(y)), value)
 
 
 def sketch_metrics(common: Column, n_a: Column, n_b: Column, k: int = 31) -> dict[str, Column]:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.arrays import let, total
+
 BASES = "ACGT"
 
 
@@ -108,8 +110,8 @@ def long_counts(table: DataFrame, key: str, k: int = 4) -> DataFrame:
 
 def frequencies(counts: Column) -> Column:
     """Counts over their sum; null (not NaN) for a contig without any k-mer."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(counts, lambda x: x / total))
+    every = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+    return let(every, lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
 
 
 def log_ratio(freqs: Column, pseudo: float = 0.0) -> Column:
@@ -119,8 +121,10 @@ def log_ratio(freqs: Column, pseudo: float = 0.0) -> Column:
     """
     low, nan = F.lit(float("-inf")), F.lit(float("nan"))
     moved = F.transform(freqs, lambda x: x + pseudo) if pseudo else freqs
-    mean = F.aggregate(moved, F.lit(0.0), lambda s, x: s + x) / F.size(freqs)
-    ratio = F.transform(moved, lambda x: F.when(mean == 0, nan).when(x == 0, low).otherwise(F.ln(x / mean)))
+    ratio = let(
+        total(moved) / F.size(freqs),
+        lambda mean: F.transform(moved, lambda x: F.when(mean == 0, nan).when(x == 0, low).otherwise(F.ln(x / mean))),
+    )
     return F.when(F.size(freqs) > 0, ratio)
 
 

@@ -65,7 +65,7 @@ def normal_cdf(x: np.ndarray) -> np.ndarray:
 
 
 def areas(ma: np.ndarray, va: np.ndarray, mb: np.ndarray, vb: np.ndarray, strict: bool) -> np.ndarray:
-    """``distances.overlap_area`` of arrays, NaN where a sample tells nothing and minus infinity for a negative area."""
+    """``distances.with_overlap_area`` of arrays, NaN where a sample tells nothing and minus infinity for a negative area."""
     ma, mb = ma + D.SHIFT, mb + D.SHIFT
     va, vb = np.maximum(va + D.SHIFT, D.LEAST_VARIANCE), np.maximum(vb + D.SHIFT, D.LEAST_VARIANCE)
     gap = va - vb

@@ -84,7 +84,7 @@ def embed(weights: DataFrame, dims: int, seed: int = 42) -> DataFrame:
         x = layout(len(ids), at[: len(pdf)], at[len(pdf) :], pdf.weight.to_numpy(), dims, seed)
         return pd.DataFrame({"id": ids, "vec": list(x)})
 
-    return weights.groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: run(pdf.drop(columns="one")), "id long, vec array<double>")
+    return weights.select("src", "dst", "weight").groupBy().applyInPandas(run, "id long, vec array<double>")
 
 
 def embed_with_retry(build: Callable[[int], DataFrame], k: int, dims: int, tries: int = 5, step: int = 10) -> DataFrame:
