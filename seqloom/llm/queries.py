@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import density, mixing, overlaps, packing, similar, splitting
 from seqloom.llm.tokens import token_count
+from seqloom.operators.tables import long_coverage
 from seqloom.session import cut, read
 
 LIMIT, OVERLAP = 2048, 64
 DIMS, MIN_LENGTH, NEAREST, NEAR, LINK, LEAST = 136, 1500, 5, 0.0015, 0.05, 5
+MAX_SAMPLES = 4096
 
 
 def _tnf(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +48,28 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return similar.neighbours(rows, rows.where("id % 20 = 0").dropDuplicates(["id"]), NEAREST, DIMS)
 
 
+def _depths(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """``id, contig, vec``: a contig's mean depths by sample, 0 where it was not measured; the id is a hash of the name."""
+    names = [r[0] for r in read(spark, d, "samples").select("sample_name").where("sample_name is not null").distinct().limit(MAX_SAMPLES + 1).collect()]
+    if len(names) > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} samples")
+    # sample names may hold dots, so columns go by number
+    number = F.create_map(*(x for i, n in enumerate(sorted(names)) for x in (F.lit(n), F.lit(i))))
+    long = long_coverage(read(spark, d, "coverage")).select("contig", F.try_element_at(number, F.col("sample_name")).alias("s"), "mean")
+    wide = long.groupBy("contig").pivot("s", list(range(len(names)))).agg(F.first("mean"))
+    vec = F.array(*(F.coalesce(F.col(f"`{i}`"), F.lit(0.0)) for i in range(len(names))))
+    return wide.select(F.xxhash64("contig").alias("id"), "contig", vec.alias("vec")), len(names)
+
+
+def p4_depths(spark: SparkSession, d: str) -> DataFrame:
+    """The five contigs of the most similar mean depths for a twentieth of the contigs (by the hash of their name), against all."""
+    rows, dims = _depths(spark, d)
+    rows = cut(rows)
+    found = similar.neighbours(rows, rows.where("pmod(id, 20) = 0"), NEAREST, dims)
+    name, other = rows.select("id", "contig"), rows.select(F.col("id").alias("neighbour"), F.col("contig").alias("neighbour_contig"))
+    return found.join(name, "id").join(other, "neighbour").select("contig", "neighbour_contig", "distance", "rank")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return density.chained(_tnf(spark, d), LINK, LEAST, DIMS).withColumnRenamed("id", "contig_idx")
 
@@ -107,7 +131,7 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found, "p3_overlaps": p3_overlaps,
-    "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+    "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_depths": p4_depths,
     "p6_found": p6_found, "p6_members": p6_members, "p6_clusters": p6_clusters,
     "p7_pack": p7_pack, "p7_report": p7_report,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
