@@ -4,7 +4,7 @@ Slot *j* of the mix belongs to the source whose stretch of the cumulative
 weights holds the golden-ratio point ``frac((j + 0.5) * phi)``; a source's r-th
 slot takes its r-th block of ``block_tokens`` tokens. A source's blocks are its
 documents in shuffled order, shuffled anew for each repetition, cut by their
-running token sum. A source whose target exceeds ``max_repeats`` times its
+running token sum; it ends with the document that comes nearest to the target. A source whose target exceeds ``max_repeats`` times its
 tokens gives all it may and leaves its further slots empty; the others keep
 their share of the whole.
 
@@ -75,7 +75,8 @@ def schedule(budget: DataFrame, block_tokens: int) -> DataFrame:
     weight = [r["target_share"] for r in known]
     if not known or sum(weight) <= 0:
         return spark.createDataFrame([], "slot long, source string, block_no long")
-    n_slots = math.ceil(known[0]["total_tokens"] * min(1.0, sum(weight)) / block_tokens)
+    # two slots more for each source than tokens ask for, as a source's slots may fall short by so many; mix() cuts at the target
+    n_slots = math.ceil(known[0]["total_tokens"] * min(1.0, sum(weight)) / block_tokens) + 2 * len(known)
     sums, at = [], 0.0
     for w in weight:
         at += w / sum(weight)
@@ -96,16 +97,17 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None, s
     # as many repetitions as the source's slots ask for, at most max_repeats
     asked = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n_slots"))
     need = budget.join(asked, "source").where("own_tokens > 0 and max_repeats > 0").select(
-        "source", "own_tokens", "n_slots", F.least("max_repeats", F.ceil(F.col("n_slots") * block_tokens / F.col("own_tokens"))).alias("times")
+        "source", "own_tokens", "n_slots", "target_tokens", F.least("max_repeats", F.ceil(F.col("n_slots") * block_tokens / F.col("own_tokens"))).alias("times")
     )
     uses = sized.where("n_tokens > 0").join(F.broadcast(need), "source").select(  # at most MAX_SOURCES rows
-        "source", "doc_id", "n_tokens", "own_tokens", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("use_no")
+        "source", "doc_id", "n_tokens", "own_tokens", "n_slots", "target_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("use_no")
     )
     order = F.xxhash64(F.lit(seed), "use_no", "doc_id")
     uses = uses.withColumn("place", order)
     ran = running_sum(uses, ["source", "use_no"], F.shiftright("place", 56), ["place", "doc_id"], F.col("n_tokens"), "before")
-    block = F.floor((F.col("before") + F.col("use_no") * F.col("own_tokens")) / block_tokens)
-    drawn = ran.withColumn("block_no", block).where("block_no < n_slots").select("source", "doc_id", "use_no", "n_tokens", "block_no", "before")
+    ran = ran.withColumn("before", F.col("before") + F.col("use_no") * F.col("own_tokens"))
+    # the last document is drawn if that brings the source nearer to its target
+    drawn = ran.withColumn("block_no", F.floor(F.col("before") / block_tokens)).where("block_no < n_slots and before + n_tokens / 2 <= target_tokens").select("source", "doc_id", "use_no", "n_tokens", "block_no", "before")
     return drawn.join(slots, ["source", "block_no"]).select("slot", "source", "doc_id", "use_no", "n_tokens", "block_no", "before")
 
 

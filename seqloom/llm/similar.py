@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.cells import Side, blocks, classes, fitted, members, sides, tiles, vectors
+from seqloom.llm.cells import Side, blocks, classes, distances, fitted, members, sides, tiles, vectors
 from seqloom.session import cut
 
 EDGES = "a long, b long, distance double, id long"
-STRIP = 512
+STRIP, SQUARE = 512, 2048
 
 
 def survivors(x: np.ndarray, y: np.ndarray, radius: float | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,20 +84,37 @@ def best(src: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
     return order[d <= np.repeat(kth, size)]
 
 
-def tile_pairs(left: Side, right: Side, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes (a, b) of a tile at most *radius* apart, where one is at home, and their distances; both orders."""
+def tile_pairs(left: Side, right: Side, radius: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes (a, b) of a tile at most *radius* apart, where one is at home, and their distances; both orders.
+
+    At least each class's k nearest of the tile (and ties) are among them. The tile
+    is taken in squares; where most pairs of a square survive the int8 product, all
+    its distances are taken at once, and only each row's and column's k nearest are
+    measured again.
+    """
     same = left is right
-    if not len(left.x) or not len(right.x):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    parts = []
-    for i, j in survivors(left.x, right.x, radius):
-        keep = left.home[i] | right.home[j]
-        if same:
-            keep &= i < j
-        i, j = i[keep], j[keep]
-        d = measured(left.x, right.x, i, j)
-        near = d <= radius
-        parts.append((left.names[i[near]], right.names[j[near]], d[near]))
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(left.x), SQUARE):
+        x, hx, nx = left.x[at : at + SQUARE], left.home[at : at + SQUARE], left.names[at : at + SQUARE]
+        for to in range(at if same else 0, len(right.x), SQUARE):
+            own = same and at == to
+            y, hy, ny = (x, hx, nx) if own else (right.x[to : to + SQUARE], right.home[to : to + SQUARE], right.names[to : to + SQUARE])
+            found = [(i[i < j], j[i < j]) if own else (i, j) for i, j in survivors(x, y, radius)]
+            i, j = (np.concatenate(z) for z in zip(*found, strict=True))
+            if len(i) * 64 > max(len(x) * len(y), 1 << 18):
+                d = distances(x, y)
+                d[~(hx[:, None] | hy)] = np.inf
+                if own:
+                    np.fill_diagonal(d, np.inf)
+                kth = [np.partition(d, min(k, d.shape[1 - ax]) - 1, axis=1 - ax).take([min(k, d.shape[1 - ax]) - 1], axis=1 - ax) for ax in (0, 1)]
+                # the distances lose some digits, so a little more than the k-th is let through
+                near = (d <= radius * (1 + 1e-6)) & ((d <= kth[0] * (1 + 1e-6) + 1e-12) | (d <= kth[1] * (1 + 1e-6) + 1e-12))
+                i, j = np.nonzero(np.triu(near | near.T, 1) if own else near)
+            keep = hx[i] | hy[j]
+            i, j = i[keep], j[keep]
+            d = measured(x, y, i, j)
+            near = d <= radius
+            parts.append((nx[i[near]], ny[j[near]], d[near]))
     a, b, d = (np.concatenate(z) for z in zip(*parts, strict=True))
     return np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
 
@@ -106,7 +123,7 @@ def edges_within(rows: DataFrame, radius: float, k: int, dims: int, block_rows:
     """Per tile, each class's k nearest classes within *radius* (``a, b, distance``), and class members (``a, id``)."""
 
     def kernel(table: pa.Table, bi: int, bj: int) -> pa.Table:
-        a, b, d = tile_pairs(*sides(table, bi, bj), radius)
+        a, b, d = tile_pairs(*sides(table, bi, bj), radius, k)
         kept = best(a, d, k)
         cls, ids = members(table, bi, bj)
         none = np.zeros(len(cls))

@@ -10,7 +10,8 @@ of those are then made range by range, by offset. A range is
 limit, and a text of fewer bytes than the limit never does.
 
 Cuts fall, within the last half of a piece's room, on the last line end, else
-sentence end, else word end, else any word end before, else on a character.
+sentence end, else word end, else any word end before, else on a character. (A
+range's end is a cut too, so a text of many ranges has a shorter piece there.)
 Each piece repeats the last ``overlap`` tokens of the one before, up to three
 more where a character would be torn. A piece is encoded again on its own and
 cut earlier if it then exceeds the limit.
@@ -178,8 +179,12 @@ def emit(ranges: DataFrame, stitched: DataFrame, limit: int, overlap: int, token
                 if b <= a:
                     continue
                 lead_cuts = safe_cuts(data[:a])
-                low = int(lead_cuts[0]) if len(lead_cuts) else a
-                ids = (encode(raw[low:a]) if low < a else []) , encode(raw[a:b])
+                whole = next(i for i in range(a + 1) if i == a or data[i] & 0xC0 != 0x80)
+                low = int(lead_cuts[0]) if len(lead_cuts) else whole
+                ids = encode(raw[low:a]), encode(raw[a:b])
+                if k and len(ids[0]) < overlap:
+                    # no safe cut far enough back: the halo's first character is as good a start for what is only repeated
+                    low, ids = whole, (encode(raw[whole:a]), ids[1])
                 offsets = low + np.concatenate(([0], np.cumsum(length[np.array(ids[0] + ids[1], np.int64)])))
                 view, begin = data[:b], len(ids[0])
                 for n, (s, e, own) in enumerate(cut_tokens(view, offsets, begin, limit, overlap, lambda x, y, raw=raw: len(encode(raw[x:y])))):
