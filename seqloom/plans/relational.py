@@ -409,8 +409,8 @@ def cluster_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select run_id, label as min_cluster_size, n as min_samples, s as score from (
-    select run_id, label, cast(n_contigs as int) as n, cast(coalesce(nullif(embed_dist, 'nan'::float), 0) as double) as s,
-      row_number() over (partition by run_id order by coalesce(nullif(embed_dist, 'nan'::float), 0) desc, label, n_contigs) as r from bin_metrics)
+    select run_id, label, cast(n_contigs as int) as n, cast(case when embed_dist is null or cast(embed_dist as varchar) = 'nan' then 0 else embed_dist end as double) as s,
+      row_number() over (partition by run_id order by case when embed_dist is null or cast(embed_dist as varchar) = 'nan' then 0 else embed_dist end desc, label, n_contigs) as r from bin_metrics)
   where r = 1""")
 def best_of_grid(spark: SparkSession, d: str) -> DataFrame:
     """The best row of each run's score table; labels and counts stand for the grid's parameters."""
