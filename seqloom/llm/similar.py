@@ -59,7 +59,7 @@ def survivors(x: np.ndarray, y: np.ndarray, radius: float | np.ndarray) -> Itera
         to = slice(at, at + STRIP)
         rows = np.ones((len(left[to]), x.shape[1] + 1), exact)
         rows[:, :-1] = left[to]
-        i, j = np.nonzero(rows @ columns >= least[to][:, None])
+        i, j = np.divmod(np.flatnonzero(rows @ columns >= least[to][:, None]), len(y))
         yield i + at, j
 
 
@@ -224,10 +224,14 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, dims: int, block_row
         _, first = np.unique(names[b], return_index=True)
         b = b[first]
         y = np.frombuffer(b"".join(vec[i] for i in b), float).reshape(len(b), -1)
-        bound = table["bound"].to_numpy()[q]
-        if not np.isfinite(bound).all():  # first round: an upper bound from the codes of the first rows
-            some = min(len(y), 4 * (k + 1))
-            bound = np.minimum(bound, np.sort(np.stack([measured(x, y, np.arange(len(x)), np.full(len(x), j)) for j in range(some)], 1), axis=1)[:, min(some, k + 1) - 1] if some > k else np.inf)
+        bound = table["bound"].to_numpy()[q].copy()
+        if not np.isfinite(bound).all():
+            # first round: the k nearest of every eighth row bound the k nearest of all
+            part = y[::8] if len(y) >= 64 * (k + 1) else y
+            if len(part) > k:
+                for at in range(0, len(x), STRIP):
+                    near = np.partition(distances(x[at : at + STRIP], part), k, axis=1)[:, k]
+                    bound[at : at + STRIP] = np.minimum(bound[at : at + STRIP], near * (1 + 1e-6) + 1e-12)
         parts = []
         for i, j in survivors(x, y, np.minimum(bound, 1e30)):
             d = measured(x, y, i, j)
