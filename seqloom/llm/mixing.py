@@ -27,7 +27,7 @@ from seqloom.operators.ranks import running_sum
 from seqloom.session import cut
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-MAX_SOURCES = 10_000
+MAX_SOURCES, SLACK = 10_000, 64
 
 
 def source_name(name: Column) -> Column:
@@ -56,11 +56,6 @@ def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def short_sources(budget: DataFrame) -> DataFrame:
-    """Sources that cannot reach their target."""
-    return budget.where(F.col("target_tokens") > F.col("capacity")).select("source")
-
-
 def block_size(total_tokens: int) -> int:
     """Tokens of a block: about 200,000 slots, with blocks of 512 to 65,536 tokens, so that shares are met closely in any mix."""
     return min(65_536, max(512, total_tokens // 200_000))
@@ -75,7 +70,7 @@ def schedule(budget: DataFrame, block_tokens: int) -> DataFrame:
     weight = [r["target_share"] for r in known]
     if not known or sum(weight) <= 0:
         return spark.createDataFrame([], "slot long, source string, block_no long")
-    # two slots more for each source than tokens ask for, as a source's slots may fall short by so many; mix() cuts at the target
+    # some slots more than tokens ask for, as a source's slots may fall short by a few; mix() cuts at the target
     n_slots = math.ceil(known[0]["total_tokens"] * min(1.0, sum(weight)) / block_tokens) + 2 * len(known)
     sums, at = [], 0.0
     for w in weight:
@@ -89,11 +84,17 @@ def schedule(budget: DataFrame, block_tokens: int) -> DataFrame:
     return running_sum(slots, ["source"], F.floor(F.col("slot") / 65536), ["slot"], F.lit(1).cast("long"), "block_no")
 
 
-def mix(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None, seed: int = 42, budget: DataFrame | None = None) -> DataFrame:
-    """``slot, source, doc_id, use_no, n_tokens, block_no``: every use of a document, in the order of slot and position in the block."""
-    budget = cut(budgets(sized, targets)) if budget is None else budget
-    block_tokens = block_tokens or block_size((budget.agg(F.max("total_tokens")).first() or [0])[0] or 0)
-    slots = cut(schedule(budget, block_tokens))
+def planned(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Budget, schedule and block size of a mix as large as all documents."""
+    budget = cut(budgets(sized, targets))
+    total = budget.agg(F.max("total_tokens")).first()[0] or 0
+    block = block_tokens or block_size(total)
+    return budget, cut(schedule(budget, block)), block
+
+
+def mix(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None, seed: int = 42, plan: tuple[DataFrame, DataFrame, int] | None = None) -> DataFrame:
+    """``slot, source, doc_id, use_no, n_tokens, block_no, before``: every use of a document, in the order of slot and ``before``, its source's tokens drawn before it."""
+    budget, slots, block_tokens = plan or planned(sized, targets, block_tokens)
     # as many repetitions as the source's slots ask for, at most max_repeats
     asked = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n_slots"))
     need = budget.join(asked, "source").where("own_tokens > 0 and max_repeats > 0").select(
@@ -111,6 +112,19 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None, s
     return drawn.join(slots, ["source", "block_no"]).select("slot", "source", "doc_id", "use_no", "n_tokens", "block_no", "before")
 
 
+def short_sources(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None) -> DataFrame:
+    """Sources that cannot reach their target: the schedule asks them for more blocks than they may give, and so does the exact sum.
+
+    The slots of a source keep within a few blocks of its share (golden-ratio points
+    deviate by about the logarithm of their number), so sources whose slots come
+    within SLACK blocks of the capacity are all that the exact check has to see.
+    """
+    budget, slots, block = planned(sized, targets, block_tokens)
+    asked = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n_slots"))
+    near = budget.join(asked, "source", "left").where((F.coalesce("n_slots", F.lit(0)) + SLACK) * F.lit(block) > F.col("capacity"))
+    return near.where(F.col("target_tokens") > F.col("capacity")).select("source")
+
+
 def shares(mixed: DataFrame, budget: DataFrame) -> DataFrame:
     """Per target: what was asked for and what the mix holds, and how often a document was used at most."""
     uses = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("tokens"))

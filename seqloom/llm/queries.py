@@ -91,7 +91,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.short_sources(mixing.budgets(_sized(spark, d), read(spark, d, "mix_targets")))
+    return mixing.short_sources(_sized(spark, d), read(spark, d, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -100,8 +100,8 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     sized, targets = _sized(spark, d), read(spark, d, "mix_targets")
-    budget = cut(mixing.budgets(sized, targets))
-    return mixing.shares(mixing.mix(sized, targets, budget=budget), budget)
+    plan = mixing.planned(sized, targets)
+    return mixing.shares(mixing.mix(sized, targets, plan=plan), plan[0])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -185,7 +185,7 @@ def test_mix(spark):
     own = {s: sum(d[2] for d in docs if d[1] == s) for s in "abc"}
     total = sum(d[2] for d in docs)
     limits = {"a": (0.2, 1), "b": (0.3, 2), "c": (0.4, 1), "none": (0.1, 9), "zero": (0.0, 0)}
-    assert {r.source for r in mixing.short_sources(budget).collect()} == {s for s, (w, n) in limits.items() if w * total > n * own.get(s, 0)}
+    assert {r.source for r in mixing.short_sources(sized, targets).collect()} == {s for s, (w, n) in limits.items() if w * total > n * own.get(s, 0)}
     rows = mixing.mix(sized, targets).collect()
     size = {d[0]: d for d in docs}
     uses = {}
@@ -218,5 +218,5 @@ def test_empty_mixes(spark):
     sized, targets = spark.createDataFrame([(1, "a", 5)], SIZED), spark.createDataFrame([("a", 1.0, 2)], TARGETS)
     assert mixing.mix(sized.limit(0), targets).count() == 0
     assert mixing.mix(sized, targets.limit(0)).count() == 0
-    assert {r.source for r in mixing.short_sources(mixing.budgets(sized.limit(0), targets)).collect()} == set()
+    assert {r.source for r in mixing.short_sources(sized.limit(0), targets).collect()} == set()
     assert [r.doc_id for r in mixing.mix(sized, targets).collect()] == [1]
