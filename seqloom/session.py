@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remove(path: str) -> None:
+    """Takes a folder of kept tables away when the program ends, through Spark while it still runs."""
+    if path.startswith("file:"):
+        shutil.rmtree(urlparse(path).path, ignore_errors=True)
+        return
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
