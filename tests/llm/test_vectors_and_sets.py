@@ -123,10 +123,21 @@ def test_dense_and_cross_forests():
     i, j = density.cross_forest(d[:25, 25:], 1.0)
     assert d[i, j + 25].sum() == pytest.approx(tree_weight(cross, 1.0))
     a, b = np.nonzero(np.triu(d <= 1.0, 1))
-    kept = density.sparse_forest(a, b, d[a, b])
+    kept = density.sparse_forest(40, a, b, d[a, b])
     assert d[a[kept], b[kept]].sum() == pytest.approx(tree_weight(d, 1.0))
 
 
+def test_sparse_forest_with_ties():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (2, 1), (30, 25), (50, 400)):
+        i, j, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 4, m).astype(float)
+        d = np.full((n, n), np.inf)
+        for a, b, v in zip(i, j, w, strict=True):
+            if a != b:
+                d[a, b] = d[b, a] = min(v, d[a, b])
+        assert w[density.sparse_forest(n, i, j, w)].sum() == tree_weight(d, 9)
+
+
 def plain_condensed(d, min_samples, min_size, most):
     """Stable clusters of the mutual reachability graph up to *most*, by cutting at every weight."""
     core = np.sort(d, axis=1)[:, min_samples - 1]
