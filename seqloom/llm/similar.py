@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.cells import Side, blocks, classes, distances, fitted, members, sides, tiles, vectors
+from seqloom.llm.cells import Cells, Side, blocks, classes, distances, fitted, members, sides, tiles, vectors
 from seqloom.session import cut
 
 EDGES = "a long, b long, distance double, id long"
@@ -119,8 +119,12 @@ def tile_pairs(left: Side, right: Side, radius: float, k: int) -> tuple[np.ndarr
     return np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
 
 
-def edges_within(rows: DataFrame, radius: float, k: int, dims: int, block_rows: int = 8192) -> DataFrame:
-    """Per tile, each class's k nearest classes within *radius* (``a, b, distance``), and class members (``a, id``)."""
+def edges_within(rows: DataFrame, radius: float, k: int, dims: int, block_rows: int = 8192, *, cells: Cells | None = None) -> DataFrame:
+    """Per tile, each class's k nearest classes within *radius* (``a, b, distance``), and class members (``a, id``).
+
+    *cells* fitted for the same radius may be given, so as not to fit them again.
+    """
+    cells = cells or fitted(rows, radius, dims, block_rows)
 
     def kernel(table: pa.Table, bi: int, bj: int) -> pa.Table:
         a, b, d = tile_pairs(*sides(table, bi, bj), radius, k)
@@ -134,7 +138,7 @@ def edges_within(rows: DataFrame, radius: float, k: int, dims: int, block_rows:
             }
         )
 
-    return tiles(blocks(rows, fitted(rows, radius, dims, block_rows), dims), kernel, EDGES)
+    return tiles(blocks(rows, cells, dims), kernel, EDGES)
 
 
 def mutual_pairs(rows: DataFrame, radius: float, k: int, dims: int) -> DataFrame:
