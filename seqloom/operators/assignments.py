@@ -89,16 +89,16 @@ def split_by_size(members: DataFrame, most: int, least: int, remove_large: bool
     return joined.withColumn("part", part).drop("bin_size")
 
 
-def refine_decision(results: DataFrame, originals: DataFrame, least_size: int, length: str = "contig_len") -> DataFrame:
-    """Per refined bin ``bin, changed``, from ``bin, label, contig_idx, contig_len`` and the original ``bin, n_contigs``.
+def refine_decision(results: DataFrame, originals: DataFrame, least_size: int, length: str = "contig_len", keys: tuple[str, ...] = ("bin",)) -> DataFrame:
+    """Per refined bin (*keys*) ``bin, changed``, from ``bin, label, contig_idx, contig_len`` and the original ``bin, n_contigs``.
 
     A bin is unchanged if nothing came back, or one cluster that holds all of its contigs.
     """
-    got = results.groupBy("bin").agg(F.countDistinct("label").alias("n_labels"), F.count(F.lit(1)).alias("n_back"))
-    joined = originals.join(got, "bin", "left")
+    got = results.groupBy(*keys).agg(F.countDistinct("label").alias("n_labels"), F.count(F.lit(1)).alias("n_back"))
+    joined = originals.join(got, list(keys), "left")
     same = F.coalesce("n_labels", F.lit(0)) == 0
     whole = (F.col("n_labels") == 1) & (F.col("n_back") == F.col("n_contigs"))
-    return joined.select("bin", (~(same | F.coalesce(whole, F.lit(False)))).alias("changed"))
+    return joined.select(*keys, (~(same | F.coalesce(whole, F.lit(False)))).alias("changed"))
 
 
 def bin_names(contigs: DataFrame, least_contig: int, least_bin: int, prefix: str = "bin", tag: str = "") -> DataFrame:

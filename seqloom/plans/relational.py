@@ -392,12 +392,22 @@ def contig_index(spark: SparkSession, d: str) -> DataFrame:
   o as (select bin, count(*) as n from r group by 1), g as (select bin, count(distinct sub) as k, count(*) as b from r group by 1)
   select o.bin, not (g.k = 1 and g.b = o.n) as changed from o join g using (bin)""")
 def refine_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Which bins a split by index modulo three would change."""
+    """Which bins a split by index modulo three would change, of run 1 and labels from 100 only; ``refine_decision_runs`` takes all."""
     bins = _members(spark, d).where("run_id = 1 and label >= 100").select(F.col("label").alias("bin"), "contig_idx", "contig_len")
     back = bins.withColumn("label", (F.col("contig_idx") % 3).cast("int"))
     return A.refine_decision(back, bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n_contigs")), LEAST_BIN)
 
 
+@query(f"""with {_LAST}, g as (select run_id, label, count(distinct contig_idx % 3) as k from m where label is not null group by 1, 2)
+  select run_id, label, k > 1 as changed from g""")
+def refine_decision_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Which bins of all runs a split by index modulo three would change."""
+    bins = _members(spark, d).where("label is not null").select("run_id", F.col("label").alias("bin"), "contig_idx", "contig_len")
+    back = bins.withColumn("label", (F.col("contig_idx") % 3).cast("int"))
+    originals = bins.groupBy("run_id", "bin").agg(F.count(F.lit(1)).alias("n_contigs"))
+    return A.refine_decision(back, originals, LEAST_BIN, keys=("run_id", "bin")).withColumnRenamed("bin", "label")
+
+
 @query(f"with {_LAST} select run_id, label, contig_idx from m where label is not null")
 def cluster_json(spark: SparkSession, d: str) -> DataFrame:
     """Cluster maps as JSON text by run and label, read back."""
