@@ -202,11 +202,18 @@ def names_for_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select sample_name from samples where sample_name not in (select sample_name from coverage where measured_at < timestamp '2023-11-05' and sample_name is not null)")
 def missing_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Samples of the manifest without coverage up to a date."""
+    """Samples of the manifest without coverage up to a date, which in the test tables lies before all rows; ``missing_samples_whole`` takes all."""
     done = read(spark, d, "coverage").where("measured_at < timestamp_ntz '2023-11-05 00:00:00'")
     return T.missing_samples(read(spark, d, "samples"), done).select("sample_name")
 
 
+@query(r"""with h as (select distinct regexp_extract(replace(regexp_extract(sample_name, '([^/]*)$', 1), '.bam', ''), '(\S+)', 1) as s from coverage where sample_name is not null)
+  select sample_name from samples where sample_name is null or regexp_extract(replace(regexp_extract(sample_name, '([^/]*)$', 1), '.bam', ''), '(\S+)', 1) not in (select s from h)""")
+def missing_samples_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of the manifest without any coverage row."""
+    return T.missing_samples(read(spark, d, "samples"), read(spark, d, "coverage")).select("sample_name")
+
+
 @query("select sample_name, kind, path1, path2 from samples where kind in ('paired', 'coupled')")
 def samples_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return T.of_kinds(read(spark, d, "samples"), ["paired", "coupled"]).select("sample_name", "kind", "path1", "path2")

@@ -27,3 +27,10 @@ def test_refine_decision_takes_every_run_and_label(spark, tables):
     d = tables("membership", rows, MEMBERS)
     got = {(r.run_id, r.label): r.changed for r in relational.refine_decision_runs(spark, d).collect()}
     assert got == {k: len({i % 3 for i in members}) > 1 for k, members in bins.items()}
+
+
+def test_missing_samples_sees_coverage_of_any_date(spark, tables):
+    tables("samples", [("s1",), ("s2",), ("x/s3.bam",), ("s4",)], "sample_name string")
+    rows = [("s1", dt.datetime(2023, 11, 4)), ("s2", dt.datetime(2023, 11, 5)), ("s3", dt.datetime(2030, 1, 1)), (None, AT)]
+    d = tables("coverage", rows, "sample_name string, measured_at timestamp_ntz")
+    assert [r.sample_name for r in relational.missing_samples_whole(spark, d).collect()] == ["s4"]
