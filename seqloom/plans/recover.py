@@ -15,11 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions import distances as D
 from seqloom.functions import sequences as S
 from seqloom.operators import assignments as A
 from seqloom.operators import blocks as B
-from seqloom.operators import embedding, graphs, hdbscan
+from seqloom.operators import embedding, graphs, hdbscan, sketched
 from seqloom.operators import tables as T
 from seqloom.session import cut
 
@@ -64,19 +63,16 @@ def _graph(rows: DataFrame, vec: str, dims: int, kernel: B.Kernel, k: int) -> Da
     return found.select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), "distance", "rank")
 
 
-def weigh_by_sketch(edges: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Edges with their distance times the sketch distance, the k nearest of each node."""
-    own, other = rows.select(F.col("id").alias("src"), F.col("hashes").alias("x")), rows.select(F.col("id").alias("dst"), F.col("hashes").alias("y"))
-    both = edges.join(own, "src").join(other, "dst")
-    distance = D.sketch_metrics(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))["sketch_distance"]
-    weighed = both.select("src", "dst", (F.col("distance") * distance).alias("distance"))
-    return T.rank_in(weighed, ["src"], ["distance", "dst"], "rank").where(F.col("rank") <= k)
+def depth_graph(rows: DataFrame, n_samples: int, k: int, strict: bool = False) -> DataFrame:
+    """The k nearest of every contig by coverage distance times sketch distance, of all contigs."""
+    vectors = rows.select("id", F.col("cov").alias("vec"), "hashes")
+    found = sketched.search(vectors, B.coverage_strict if strict else B.coverage, k, 2 * n_samples)
+    return found.select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), "distance", "rank")
 
 
 def neighbour_graph(rows: DataFrame, n_samples: int, k: int, keep_n: int, options: Options) -> DataFrame:
     """The depth graph (coverage times sketch distance) cut by the k-mer graph."""
-    kernel = B.coverage_strict if options.strict else B.coverage
-    depth = weigh_by_sketch(_graph(rows, "cov", 2 * n_samples, kernel, 2 * k), rows, k)
+    depth = depth_graph(rows, n_samples, k, options.strict)
     return graphs.combined(cut(depth), cut(_graph(rows, "tnf", 136, B.proportional, k)), keep_n, options.prune)
 
 
