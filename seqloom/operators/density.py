@@ -1,0 +1,414 @@
+"""Hierarchical density clustering of vectors.
+
+1. Core distances: a vector's ``min_samples``-th nearest (itself counted) from
+   tiles of blocks (``cells``), within ``max_distance``.
+2. Mutual reachability ``max(core, core, distance)``: each tile is a small dense
+   graph and sends only its minimum spanning forest; the forest of all vectors is
+   the forest of these, by distributed Borůvka rounds (``operators.spanning``).
+3. Condensed hierarchy: components of the forest up to rising weights. A
+   component is handled in one task of bounded size; below each weight it is
+   replaced by one node that carries its open cluster, so no task ever holds more
+   than a level's nodes of one component.
+4. Stability-based selection, and the members of highest persistence as
+   exemplars.
+
+Trees of the forest (no chain of links up to ``max_distance``) are clusters born
+at ``max_distance``. Links of equal weight are taken together, so the result
+depends on no order.
+
+Defined results: vectors that are null, hold null, NaN or infinity, or have
+another length take no part; a repeated id counts once; copies are links of
+weight 0 and count each as a member; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from seqloom.operators.cells import Cells, Side, blocks, distances, fitted, members, sides, tiles
+from seqloom.operators.similar import edges_within, measured, survivors
+from seqloom.operators.spanning import forest
+from seqloom.session import cut
+
+LINKS = "a long, b long, weight double, id long"
+BLOCK, SQUARE, THIN = 32768, 2048, 1 << 20
+
+
+def dense_forest(d: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Prim's forest of a full symmetric distance matrix, links up to *most*: the links' ends."""
+    n = len(d)
+    key, via, out = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool)
+    ends: list[tuple[int, int]] = []
+    for _ in range(n):
+        at = int(key.argmin())
+        if key[at] > most:
+            at = int(out.argmax())  # a new tree
+        else:
+            ends.append((via[at], at))
+        out[at] = False
+        key[at] = np.inf
+        nearer = out & (d[at] < key)
+        key[nearer] = d[at][nearer]
+        via[nearer] = at
+    return _ends(ends)
+
+
+def cross_forest(d: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Prim's forest of a graph of links between rows and columns only: the links' rows and columns."""
+    r, c = d.shape
+    flip = np.ascontiguousarray(d.T)
+    key, via, out = np.full(r + c, np.inf), np.full(r + c, -1), np.ones(r + c, bool)
+    ends: list[tuple[int, int]] = []
+    for _ in range(r + c):
+        at = int(key.argmin())
+        if key[at] > most:
+            at = int(out.argmax())
+        else:
+            ends.append((at, via[at]) if at < r else (via[at], at))
+        out[at] = False
+        key[at] = np.inf
+        far, row = (slice(r, None), d[at]) if at < r else (slice(0, r), flip[at - r])
+        nearer = out[far] & (row < key[far])
+        key[far][nearer] = row[nearer]
+        via[far][nearer] = at
+    i, j = _ends(ends)
+    return i, j - r
+
+
+def _ends(ends: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.array(ends, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def sparse_forest(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j, w) of n nodes a minimum spanning forest keeps; Borůvka's rounds on arrays."""
+    order = np.argsort(w, kind="stable")
+    i, j = i[order], j[order]
+    label, alive, kept = np.arange(n), np.arange(len(i)), [np.zeros(0, np.int64)]
+    while True:
+        a, b = label[i[alive]], label[j[alive]]
+        across = a != b
+        a, b, alive = a[across], b[across], alive[across]
+        if not len(alive):
+            return order[np.concatenate(kept)]
+        # links are in order, so written backwards each part ends up with its first
+        first = np.full(n, len(i))
+        first[b[::-1]] = alive[::-1]
+        other = np.full(n, len(i))
+        other[a[::-1]] = alive[::-1]
+        first = np.minimum(first, other)
+        parts = np.flatnonzero(first < len(i))
+        link = first[parts]
+        kept.append(np.unique(link))
+        x, y = label[i[link]], label[j[link]]
+        up = np.arange(n)
+        up[parts] = np.where(x == parts, y, x)
+        # two parts that chose the same link point at each other: the smaller is the root
+        pair = (up[up] == np.arange(n)) & (np.arange(n) < up)
+        up[pair] = np.flatnonzero(pair)
+        while True:
+            far = up[up]
+            if (far == up).all():
+                break
+            up = far
+        label = up[label]
+
+
+def tile_forest(left: Side, right: Side, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest (a, b, weight) of a tile's links up to *most*.
+
+    The tile is taken in squares of ``SQUARE`` rows. Pairs that can be near enough
+    come from the int8 product; where they are many, Prim's forest of the square
+    stands for them. The links of all squares are thinned to one forest.
+    """
+    same = left is right
+    names = left.names if same else np.concatenate((left.names, right.names))
+    shift = 0 if same else len(left.x)
+    i_all, j_all, w_all = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def thin() -> None:
+        nonlocal i_all, j_all, w_all
+        i_all, j_all, w_all = (np.concatenate((old, *new)) for old, new in zip((i_all, j_all, w_all), zip(*fresh, strict=True), strict=True))
+        kept = sparse_forest(len(names), i_all, j_all, w_all)
+        i_all, j_all, w_all = i_all[kept], j_all[kept], w_all[kept]
+        fresh.clear()
+
+    for at in range(0, len(left.x), SQUARE):
+        x, cx = left.x[at : at + SQUARE], left.core[at : at + SQUARE]
+        for to in range(at if same else 0, len(right.x), SQUARE):
+            own = same and at == to
+            y, cy = (x, cx) if own else (right.x[to : to + SQUARE], right.core[to : to + SQUARE])
+            found = [(i[i < j], j[i < j]) if own else (i, j) for i, j in survivors(x, y, most)]
+            i, j = (np.concatenate(z) for z in zip(*found, strict=True))
+            if len(i) * 64 > max(len(x) * len(y), 1 << 18):
+                d = np.maximum(distances(x, y), np.maximum(cx[:, None], cy))
+                if own:
+                    np.fill_diagonal(d, np.inf)
+                # its links are measured again from the doubles, so a little more than the limit is let through
+                i, j = (dense_forest if own else cross_forest)(d, most * (1 + 1e-6))
+            w = np.maximum(measured(x, y, i, j), np.maximum(cx[i], cy[j]))
+            near = w <= most
+            fresh.append((i[near] + at, j[near] + to + shift, w[near]))
+            if sum(len(f[0]) for f in fresh) > THIN:
+                thin()
+    if fresh:
+        thin()
+    return names[i_all], names[j_all], w_all
+
+
+def links(placed: DataFrame, max_distance: float) -> DataFrame:
+    """Per tile the forest's links (``a, b, weight``) between classes, and class members (``a, id``).
+
+    With a column ``core`` in *placed*, weights are mutual reachability distances, else plain ones.
+    """
+
+    def kernel(table: pa.Table, bi: int, bj: int) -> pa.Table:
+        a, b, w = tile_forest(*sides(table, bi, bj), max_distance)
+        cls, ids = members(table, bi, bj)
+        is_link = np.arange(len(a) + len(cls)) < len(a)
+        return pa.table(
+            {
+                "a": np.concatenate((a, cls)), "b": pa.array(np.concatenate((b, cls)), mask=~is_link),
+                "weight": np.concatenate((w, np.zeros(len(cls)))), "id": pa.array(np.concatenate((a, ids)), mask=is_link),
+            }
+        )
+
+    return tiles(placed, kernel, LINKS)
+
+
+def chained(rows: DataFrame, max_distance: float, min_size: int, dims: int) -> DataFrame:
+    """``id, cluster_key``: the hierarchy of plain distances, cut at *max_distance*; clusters of at least *min_size* ids, keyed by their smallest id."""
+    found = cut(links(blocks(rows, fitted(rows, max_distance, dims, BLOCK), dims), max_distance))
+    tree = forest(found.where("b is not null").select("a", "b", "weight"))
+    ids = found.where("id is not null").select(F.col("a").alias("node"), "id").distinct()
+    placed = ids.join(tree.nodes, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    sizes = placed.groupBy("component").agg(F.countDistinct("id").alias("n"), F.min("id").alias("cluster_key")).where(F.col("n") >= min_size)
+    return placed.join(sizes, "component").select("id", "cluster_key").distinct()
+
+
+def core_distances(rows: DataFrame, max_distance: float, min_samples: int, dims: int, cells: Cells | None = None) -> tuple[DataFrame, DataFrame]:
+    """``cls, core`` of the classes with *min_samples* points within *max_distance* (themselves counted), and ``cls, id`` of all."""
+    near = cut(edges_within(rows, max_distance, max(1, min_samples - 1), dims, BLOCK, cells=cells))
+    ids = near.where("id is not null").select(F.col("a").alias("cls"), "id").distinct()
+    size = ids.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    others = near.where("b is not null").select("a", "b", "distance")
+    itself = size.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("distance"))
+    upto = W.partitionBy("a").orderBy("distance").rangeBetween(W.unboundedPreceding, 0)
+    # a class has at most min_samples - 1 nearest (and ties) in each of its tiles
+    seen = others.unionByName(itself).distinct().join(size.withColumnRenamed("cls", "b"), "b").withColumn("points", F.sum("n").over(upto))
+    core = seen.where(F.col("points") >= min_samples).groupBy(F.col("a").alias("cls")).agg(F.min("distance").alias("core"))
+    return core, ids
+
+
+@dataclass
+class Part:
+    """What a component has come to: its points, its open cluster if it is large enough, else its classes."""
+
+    size: int
+    cluster: str | None = None
+    total: float = 0.0  # over the points, the densities at which they left the open cluster
+    best: float = 0.0  # the stability that selecting below the open cluster would give
+    classes: list[int] = field(default_factory=list)
+
+
+class Hierarchy:
+    """Condenses a forest bottom up: links by rising weight, equal weights at once."""
+
+    def __init__(self, min_size: int, floor: float) -> None:
+        self.min_size, self.floor = min_size, floor
+        self.entries: list[tuple[int, str, float]] = []  # class, the lowest cluster it is in, density of entry
+        self.clusters: list[tuple[str, str | None, int, float, float, bool]] = []  # name, parent, size, birth, stability, preferred
+
+    def density(self, weight: float) -> float:
+        return 1.0 / (weight + self.floor)
+
+    def start(self, cls: int, size: int) -> Part:
+        """A class alone: a cluster if its copies are enough of one."""
+        part = Part(size, classes=[cls])
+        return self.merge([part], 0.0, f"{cls}:0") if size >= self.min_size else part
+
+    def close(self, part: Part, weight: float, parent: str | None) -> float:
+        """Ends an open cluster where a larger one begins; the best stability at or below it."""
+        stability = part.total - self.density(weight) * part.size
+        preferred = stability >= part.best
+        self.clusters.append((part.cluster, parent, part.size, self.density(weight), stability, preferred))
+        return max(stability, part.best)
+
+    def merge(self, parts: list[Part], weight: float, name: str) -> Part:
+        """Parts that links of one weight join; *name* is a cluster's if one begins here."""
+        large = [p for p in parts if p.cluster]
+        small = [p for p in parts if not p.cluster]
+        density, size = self.density(weight), sum(p.size for p in parts)
+        if not large and size < self.min_size:
+            return Part(size, classes=sorted(c for p in small for c in p.classes))
+        if len(large) == 1:
+            out = large[0]
+            out.total += density * (size - out.size)
+            out.size = size
+        else:
+            out = Part(size, name, density * size)
+            out.best = sum(self.close(p, weight, name) for p in sorted(large, key=lambda p: p.cluster))
+        self.entries += [(c, out.cluster, density) for p in small for c in p.classes]
+        return out
+
+    def run(self, parts: dict[int, Part], a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> dict[int, int]:
+        """Joins *parts* (by node) along the links; each node's root. *parts* keeps the roots' parts."""
+        root = {n: n for n in parts}
+
+        def find(n: int) -> int:
+            while root[n] != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        order = np.lexsort((b, a, weight))
+        at = 0
+        while at < len(order):
+            to = at
+            together: dict[int, list[int]] = {}
+            while to < len(order) and weight[order[to]] == weight[order[at]]:
+                x, y = find(int(a[order[to]])), find(int(b[order[to]]))
+                to += 1
+                if x != y:
+                    x, y = min(x, y), max(x, y)
+                    root[y] = x
+                    together[x] = together.pop(x, [x]) + together.pop(y, [y])
+            w = float(weight[order[at]])
+            for x, nodes in together.items():
+                joined = [parts.pop(n) for n in nodes]
+                parts[x] = self.merge(joined, w, f"{x}:{w!r}")
+            at = to
+        return {n: find(n) for n in root}
+
+
+_STATE = "what int, node long, root long, size long, cluster string, total double, best double, classes array<long>, parent string, density double, preferred boolean"
+_SCHEMA = pa.schema(
+    [
+        ("what", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("size", pa.int64()), ("cluster", pa.string()), ("total", pa.float64()), ("best", pa.float64()),
+        ("classes", pa.list_(pa.int64())), ("parent", pa.string()), ("density", pa.float64()), ("preferred", pa.bool_()),
+    ]
+)
+NODE, ENTRY, CLUSTER = range(3)
+
+
+def _level(table: pa.Table, min_size: int, floor: float) -> pa.Table:
+    """One level for the components of a group: rows of nodes (a null) and links. Arrow all along, as pandas would round long ids beside nulls."""
+    h = Hierarchy(min_size, floor)
+    is_node = pc.is_null(table["a"])
+    nodes, edges = table.filter(is_node), table.filter(pc.invert(is_node))
+    parts: dict[int, Part] = {}
+    for r in nodes.select(["node", "size", "cluster", "total", "best", "classes"]).to_pylist():
+        known = r["total"] is not None
+        parts[r["node"]] = Part(r["size"], r["cluster"], r["total"], r["best"], r["classes"] or []) if known else h.start(r["node"], r["size"])
+    roots = h.run(parts, *(edges[c].to_numpy() for c in ("a", "b", "weight")))
+    out = []
+    for n, root in roots.items():
+        # a node that is not its component's root is only told the root
+        p = parts.get(n) or Part(0)
+        out.append({"what": NODE, "node": n, "root": root, "size": p.size, "cluster": p.cluster, "total": p.total, "best": p.best, "classes": p.classes})
+    out += [{"what": ENTRY, "node": c, "cluster": name, "density": d} for c, name, d in h.entries]
+    out += [{"what": CLUSTER, "size": n, "cluster": name, "total": stability, "parent": up, "density": birth, "preferred": p} for name, up, n, birth, stability, p in h.clusters]
+    return pa.Table.from_pylist(out, schema=_SCHEMA)
+
+
+def hierarchy(links_: DataFrame, sizes: DataFrame, min_size: int, max_distance: float, level_links: int = 200_000, floor: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries ``cls, cluster, density`` and clusters ``cluster, parent, size, birth, stability, preferred`` of a forest.
+
+    *links_*: ``a, b, weight`` of the forest; *sizes*: ``cls, n`` of all classes.
+    """
+    floor = max_distance * 1e-3 if floor is None else floor
+    edges = cut(links_.select("a", "b", "weight"))
+    n_links = edges.count()
+    levels = max(1, -(-n_links // level_links))
+    steps = edges.agg(F.percentile_approx("weight", [i / levels for i in range(1, levels)], 10_000)).first()[0] if levels > 1 else []
+    steps = [*sorted(set(steps or [])), max_distance]
+    none = F.lit(None)
+    state = sizes.select(F.col("cls").alias("node"), F.col("n").alias("size"), none.cast("string").alias("cluster"), none.cast("double").alias("total"), none.cast("double").alias("best"), none.cast("array<long>").alias("classes"))
+    entries, clusters = [], []
+    for k, top in enumerate(steps):
+        now, later = edges.where(F.col("weight") <= top), edges.where(F.col("weight") > top)
+        trees = forest(now).nodes
+        keyed = state.join(trees, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        of = trees.select(F.col("node").alias("a"), "component")
+        n_groups = max(1, -(-n_links // level_links)) * 16
+        group = F.pmod(F.xxhash64("component"), F.lit(n_groups)).alias("g")
+        rows = keyed.select(group, "node", "size", "cluster", "total", "best", "classes", none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("double").alias("weight"))
+        wired = now.join(of, "a").select(group, none.cast("long").alias("node"), none.cast("long").alias("size"), none.cast("string").alias("cluster"), none.cast("double").alias("total"), none.cast("double").alias("best"), none.cast("array<long>").alias("classes"), "a", "b", "weight")
+        done = cut(rows.unionByName(wired).groupBy("g").applyInArrow(lambda t: _level(t, min_size, floor), _STATE))
+        entries.append(done.where(f"what = {ENTRY}").select(F.col("node").alias("cls"), "cluster", "density"))
+        clusters.append(done.where(f"what = {CLUSTER}").select("cluster", "parent", "size", F.col("density").alias("birth"), F.col("total").alias("stability"), "preferred"))
+        state = done.where(f"what = {NODE} and node = root").select("node", "size", "cluster", "total", "best", "classes")
+        if k + 1 < len(steps):
+            root = done.where(f"what = {NODE}").select("node", "root")
+            edges = cut(
+                later.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+                .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+                .select(F.col("ra").alias("a"), F.col("rb").alias("b"), "weight")
+            )
+    birth = 1.0 / (max_distance + floor)
+    stability = F.col("total") - F.lit(birth) * F.col("size")
+    clusters.append(state.where("cluster is not null").select("cluster", none.cast("string").alias("parent"), "size", F.lit(birth).alias("birth"), stability.alias("stability"), (stability >= F.col("best")).alias("preferred")))
+    out_e, out_c = entries[0], clusters[0]
+    for e in entries[1:]:
+        out_e = out_e.unionByName(e)
+    for c in clusters[1:]:
+        out_c = out_c.unionByName(c)
+    return out_e, cut(out_c)
+
+
+def select_stable(clusters: DataFrame) -> DataFrame:
+    """``cluster, chosen``: for each cluster the topmost preferred one above or at it, null if there is none."""
+    at = cut(clusters.select("cluster", F.col("parent").alias("up"), F.when(F.col("preferred"), F.col("cluster")).alias("chosen")))
+    while not at.where("up is not null").isEmpty():
+        above = at.select(F.col("cluster").alias("up"), F.col("up").alias("further"), F.col("chosen").alias("higher"))
+        at = cut(at.join(above, "up", "left").select("cluster", F.col("further").alias("up"), F.coalesce("higher", "chosen").alias("chosen")))
+    return at.select("cluster", "chosen")
+
+
+def cluster(rows: DataFrame, dims: int, max_distance: float, min_samples: int = 5, min_size: int = 5, level_links: int = 200_000, floor: float | None = None, allow_single: bool = True) -> DataFrame:
+    """``id, cluster, density``: the stable cluster of every whole vector, null for outliers, and the density at which it enters. Without *allow_single*, a whole tree of the forest is no cluster."""
+    cells = fitted(rows, max_distance, dims, BLOCK)
+    core, ids = core_distances(rows, max_distance, min_samples, dims, cells)
+    core, ids = cut(core), cut(ids)
+    placed = blocks(rows, cells, dims).join(core, "cls")
+    tree = forest(links(placed, max_distance).where("b is not null").select("a", "b", "weight"))
+    sizes = ids.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(core, "cls", "left_semi")
+    entries, clusters = hierarchy(tree.edges, sizes, min_size, max_distance, level_links, floor)
+    if not allow_single:
+        clusters = clusters.withColumn("preferred", F.col("preferred") & F.col("parent").isNotNull())
+    placed_in = entries.join(select_stable(clusters), "cluster").where("chosen is not null").select("cls", F.col("chosen").alias("cluster"), "density")
+    return ids.join(placed_in, "cls", "left").select("id", "cluster", "density")
+
+
+def unbounded(rows: DataFrame, min_samples: int = 5, min_size: int = 5) -> DataFrame:
+    """``id, label`` (null for outliers) of any number of points ``id, vec``, as ``hdbscan.fit`` defines them: no link is too long, and the whole is no cluster.
+
+    Labels 0, 1, ... go by smallest id.
+    """
+    rows = cut(rows.where("id is not null and vec is not null").select("id", F.transform("vec", lambda x: F.nanvl(x.cast("double"), F.lit(0.0))).alias("vec")))
+    spans = rows.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg((F.max("x") - F.min("x")).alias("span")).collect()
+    if not spans:
+        return rows.select("id", F.lit(None).cast("int").alias("label"))
+    longest = max(float(np.linalg.norm([r.span for r in spans])) * (1 + 1e-6), 1e-9)
+    found = cut(cluster(rows, len(spans), longest, min_samples, min_size, floor=1e-12, allow_single=False))
+    # one row per cluster
+    least = found.where("cluster is not null").groupBy("cluster").agg(F.min("id").alias("least"))
+    labels = least.select("cluster", (F.row_number().over(W.orderBy("least")) - 1).cast("int").alias("label"))
+    return found.join(labels, "cluster", "left").select("id", "label")
+
+
+def describe(labelled: DataFrame, lengths: DataFrame, n_exemplars: int = 5) -> DataFrame:
+    """Per cluster: size in members and total length, and its most persistent members. *lengths*: ``id, length``."""
+    rows = cut(labelled.where("cluster is not null").join(lengths, "id", "left"))
+    top = rows.withColumn("n", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("density"), "id"))).where(F.col("n") <= n_exemplars)
+    typical = top.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("exemplars"))
+    sizes = rows.groupBy("cluster").agg(F.min("id").alias("cluster_key"), F.count(F.lit(1)).alias("n_contigs"), F.sum("length").alias("bin_size"))
+    return sizes.join(typical, "cluster").select("cluster_key", "n_contigs", "bin_size", "exemplars")

@@ -1,10 +1,11 @@
 """From contigs and coverage to bins, and the refinement of given bins.
 
 The steps are the operators of this package; a table is kept in the shared
-folder after the features, the graphs and the embedding. Layout and clustering
-run in one task and raise an error beyond their bound
-(``embedding.MAX_NODES``, ``hdbscan.MAX_POINTS``); for more contigs pass
-``cluster``, any function from ``id, vec`` to ``id, label``.
+folder after the features, the graphs and the embedding. Sets of more than
+``hdbscan.MAX_POINTS`` are clustered by ``density.unbounded``, with one fit in
+place of a grid of fits; *cluster*, any function from ``id, vec`` to
+``id, label``, replaces both. The layout runs in one task and raises an error
+beyond ``embedding.MAX_NODES``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import sequences as S
 from seqloom.operators import assignments as A
 from seqloom.operators import blocks as B
-from seqloom.operators import embedding, graphs, hdbscan, sketched
+from seqloom.operators import density, embedding, graphs, hdbscan, sketched
 from seqloom.operators import tables as T
 from seqloom.session import cut
 
@@ -76,6 +77,20 @@ def neighbour_graph(rows: DataFrame, n_samples: int, k: int, keep_n: int, option
     return graphs.combined(cut(depth), cut(_graph(rows, "tnf", 136, B.proportional, k)), keep_n, options.prune)
 
 
+def cluster_each(points: DataFrame, key: str) -> DataFrame:
+    """``key, id, label`` of each group of *points* (``key, id, vec``) on its own: the grid's best fit in one task, or beyond its bound one distributed fit."""
+    points = cut(points.select(key, "id", "vec").where("id is not null and vec is not null"))
+    counts = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # groups of more than the bound are few
+    large = [r[0] for r in counts.where(F.col("n") > hdbscan.MAX_POINTS).select(key).collect()]
+    small = points.where(~F.col(key).isin(large)) if large else points
+    out = hdbscan.cluster_groups(small, [key], "id", "vec", choose=hdbscan.best_labels)
+    for name in large:
+        found = density.unbounded(points.where(F.col(key) == name).select("id", "vec"))
+        out = out.unionByName(found.select(F.lit(name).alias(key), "id", "label"))
+    return out
+
+
 def _cluster_once(rows: DataFrame, n_samples: int, options: Options, cluster: Cluster | None) -> DataFrame:
     """``id, label`` of one pass: graph, pre-filter, embedding, clusters; removed contigs are outliers."""
     n = rows.count()
@@ -93,7 +108,7 @@ def _cluster_once(rows: DataFrame, n_samples: int, options: Options, cluster: Cl
         return edges if more == k else build(nodes, more - k)
 
     placed = cut(embedding.embed_with_retry(denser, k, dims))
-    found = cluster(placed) if cluster else hdbscan.cluster_groups(placed.withColumn("one", F.lit(0)), ["one"], "id", "vec", choose=hdbscan.best_labels).select("id", "label")
+    found = cluster(placed) if cluster else cluster_each(placed.withColumn("one", F.lit("")), "one").select("id", "label")
     return found.unionByName(gone.select(F.col("src").alias("id"), F.lit(None).cast("int").alias("label")))
 
 
@@ -129,7 +144,7 @@ def refine(bins: DataFrame, vectors: DataFrame, options: Options = Options(), ta
     sized = A.requirements(bins.withColumn("label", F.lit(1)), ("bin",), options.min_contig_size, options.min_contig_count, options.min_bin_size, "contig_len")
     work = cut(bins.where(~apart).join(sized.where("passes").select("bin"), "bin", "left_semi"))
     points = work.select("bin", F.col("contig_idx").alias("id")).join(vectors, "id")
-    parts = split(points) if split else hdbscan.cluster_groups(points, ["bin"], "id", "vec", choose=hdbscan.best_labels)
+    parts = split(points) if split else cluster_each(points, "bin")
     # a contig that no cluster took is in the bin's rest, label 0; clusters count from 1
     back = cut(work.join(parts.withColumnRenamed("id", "contig_idx"), ["bin", "contig_idx"], "left").withColumn("label", F.coalesce(F.col("label") + 1, F.lit(0))))
     decided = A.refine_decision(back, work.groupBy("bin").agg(F.count(F.lit(1)).alias("n_contigs")), options.min_bin_size)
