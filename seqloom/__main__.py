@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions import sequences as S
+from seqloom.functions.arrays import let, total
 from seqloom.plans import recover as R
 from seqloom.session import build_session
 from seqloom.sources import sequences, sinks, tables
@@ -50,11 +52,18 @@ def _coverage(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     return rows, sorted(r[0] for r in rows.select("sample_name").distinct().collect())  # the samples of a header
 
 
-def depth_vectors(contigs: DataFrame, coverage: DataFrame, samples: Sequence[str]) -> DataFrame:
-    """``id, vec``: logarithms of the mean depths."""
+def bin_vectors(contigs: DataFrame, coverage: DataFrame, samples: Sequence[str], options: R.Options = R.Options()) -> DataFrame:
+    """``id, vec``: logarithms of the mean depths, then the k-mer profile's log ratios, centred and of length 1 (zeros for a contig without k-mers).
+
+    Between profiles the square of the distance is 2 - 2 times their correlation.
+    """
     cov = R.coverage_vectors(coverage, samples).join(contigs.select("contig", "contig_idx"), "contig")
     means = F.transform(F.filter("cov", lambda x, i: i % 2 == 0), lambda x: F.log1p(x))
-    return cov.select(F.col("contig_idx").alias("id"), means.alias("vec"))
+    tnf = S.kmer_table(contigs, "contig_idx", "seq").select("contig_idx", S.log_ratio(S.frequencies(F.col("counts")), options.pseudo_count).alias("x"))
+    tnf = tnf.withColumn("x", let(total(F.col("x")) / F.size("x"), lambda m: F.transform("x", lambda v: v - m)))
+    unit = let(F.sqrt(total(F.transform("x", lambda v: v * v))), lambda n: F.transform("x", lambda v: F.coalesce(F.try_divide(v, n), F.lit(0.0))))
+    profiles = tnf.select("contig_idx", F.coalesce(unit, F.array_repeat(F.lit(0.0), 136)).alias("profile"))
+    return cov.join(profiles, "contig_idx").select(F.col("contig_idx").alias("id"), F.concat(means, "profile").alias("vec"))
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -73,7 +82,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         bins, tag = contigs.select("bin", "contig_idx", "contig", "seq"), args.bin_tag
     if args.command == "refine" or not args.skip_refine:
         sized = bins.select("bin", "contig_idx", F.length("seq").cast("long").alias("contig_len"))
-        better = R.refine(sized, depth_vectors(contigs, coverage, samples), opts, tag)
+        better = R.refine(sized, bin_vectors(contigs, coverage, samples, opts), opts, tag)
         bins = better.select("contig_idx", "bin").join(bins.drop("bin"), "contig_idx")
     staged = f"{args.output_directory.rstrip('/')}.staged"
     sinks.write_bins(bins, staged, refuse=False)
