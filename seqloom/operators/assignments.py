@@ -70,20 +70,20 @@ def append_clusters(a: DataFrame, b: DataFrame) -> DataFrame:
     return merged.unionByName(a.where("label is null").select("label", "contig_idx"))
 
 
-def merge_by_super_clusters(members: DataFrame, supers: DataFrame) -> DataFrame:
-    """Clusters united by their super-cluster (``label, super_label``, null: kept alone), renumbered 0, 1, ...: united ones first, each by its smallest label."""
-    joined = members.where("label is not null").join(supers, "label", "left")
+def merge_by_super_clusters(members: DataFrame, supers: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Clusters united by their super-cluster (``label, super_label``, null: kept alone), renumbered 0, 1, ... (per *keys*): united ones first, each by its smallest label."""
+    joined = members.where("label is not null").join(supers, [*keys, "label"], "left")
     key = F.when(F.col("super_label").isNull(), F.struct(F.lit(1).alias("alone"), F.col("label").cast("long").alias("k"))).otherwise(F.struct(F.lit(0).alias("alone"), F.col("super_label").cast("long").alias("k")))
     grouped = joined.withColumn("__key", key)
-    order = grouped.groupBy("__key").agg(F.min("label").alias("__least"))
-    numbered = order.select("__key", (F.row_number().over(W.orderBy(F.col("__key.alone"), "__least")) - 1).alias("merged_label"))
-    return grouped.join(numbered, "__key").select("merged_label", "contig_idx")
+    order = grouped.groupBy(*keys, "__key").agg(F.min("label").alias("__least"))
+    numbered = order.select(*keys, "__key", (F.row_number().over(W.partitionBy(*keys).orderBy(F.col("__key.alone"), "__least")) - 1).alias("merged_label"))
+    return grouped.join(numbered, [*keys, "__key"]).select(*keys, "merged_label", "contig_idx")
 
 
-def split_by_size(members: DataFrame, most: int, least: int, remove_large: bool = True, length: str = "contig_len") -> DataFrame:
+def split_by_size(members: DataFrame, most: int, least: int, remove_large: bool = True, length: str = "contig_len", keys: tuple[str, ...] = ("label",)) -> DataFrame:
     """Members with ``part``: ``large`` (bins of at least *most*, set aside), ``cluster``, ``single`` (outliers of at least *least*, each a new cluster) or ``outlier``."""
-    sizes = bin_sizes(members, ("label",), length).select("label", "bin_size")
-    joined = members.join(sizes, "label", "left")
+    sizes = bin_sizes(members, keys, length).select(*keys, "bin_size")
+    joined = members.join(sizes, list(keys), "left")
     large = F.lit(remove_large) & (F.col("bin_size") >= most)
     part = F.when(F.col("label").isNull(), F.when(F.col(length) >= least, "single").otherwise("outlier")).when(large, "large").otherwise("cluster")
     return joined.withColumn("part", part).drop("bin_size")
@@ -101,24 +101,24 @@ def refine_decision(results: DataFrame, originals: DataFrame, least_size: int, l
     return joined.select(*keys, (~(same | F.coalesce(whole, F.lit(False)))).alias("changed"))
 
 
-def bin_names(contigs: DataFrame, least_contig: int, least_bin: int, prefix: str = "bin", tag: str = "") -> DataFrame:
+def bin_names(contigs: DataFrame, least_contig: int, least_bin: int, prefix: str = "bin", tag: str = "", keys: tuple[str, ...] = ()) -> DataFrame:
     """``contig_idx, bin`` of every contig (``contig_idx, contig_len, label, clustered``).
 
     A contig below *least_contig* is ``small_unbinned``, or alone if it is as long as
     a bin; a clustered one goes to its label; an outlier is ``unbinned``, or alone if
     long enough. Contigs that no clustering saw are ``unbinned`` too. Lone contigs are
-    numbered in the order of their index.
+    numbered in the order of their index, per *keys*.
     """
     small = F.coalesce(F.col("contig_len"), F.lit(0)) < least_contig
     big = F.coalesce(F.col("contig_len"), F.lit(0)) >= least_bin
     kind = F.when(small & ~big, "small_unbinned").when(~small & F.col("label").isNotNull(), "label").when(big, "single").otherwise("unbinned")
     rows = contigs.withColumn("__kind", kind)
     # few contigs are as long as a whole bin; they alone are numbered
-    single = rows.where("__kind = 'single'").select("contig_idx", F.row_number().over(W.orderBy("contig_idx")).alias("__n"))
-    named = rows.join(single, "contig_idx", "left")
+    single = rows.where("__kind = 'single'").select(*keys, "contig_idx", F.row_number().over(W.partitionBy(*keys).orderBy("contig_idx")).alias("__n"))
+    named = rows.join(single, [*keys, "contig_idx"], "left")
     lone = F.concat(F.lit(f"single_contig_{tag}_" if tag else "single_contig_"), F.col("__n").cast("string"))
     name = F.when(F.col("__kind") == "label", F.col("label").cast("string")).when(F.col("__kind") == "single", lone).otherwise(F.col("__kind"))
-    return named.select("contig_idx", F.concat(F.lit(f"{prefix}_"), name).alias("bin"))
+    return named.select(*keys, "contig_idx", F.concat(F.lit(f"{prefix}_"), name).alias("bin"))
 
 
 def outlier_share(members: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:

@@ -345,6 +345,24 @@ def split_large(spark: SparkSession, d: str) -> DataFrame:
     return A.split_by_size(members, 1_000_000, 10_000).select("contig_idx", "label", "part")
 
 
+@query(f"""with {_LAST}, k as (select run_id, label, contig_idx, case when label % 7 = 0 then null else label % 5 end as s from m where label is not null),
+  g as (select *, case when s is null then 1 else 0 end as alone, coalesce(s, label) as key from k),
+  o as (select run_id, alone, key, cast(row_number() over (partition by run_id order by alone, min(label)) - 1 as int) as merged_label from g group by 1, 2, 3)
+  select run_id, o.merged_label, g.contig_idx from g join o using (run_id, alone, key)""")
+def super_merge_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``super_merge`` of every run."""
+    members = _members(spark, d).select("run_id", "label", "contig_idx")
+    supers = members.where("label is not null and label % 7 <> 0").select("run_id", "label", (F.col("label") % 5).alias("super_label")).distinct()
+    return A.merge_by_super_clusters(members, supers, ("run_id",))
+
+
+@query(f"""with {_SIZES} select run_id, contig_idx, m.label, case when m.label is null then case when contig_len >= 10000 then 'single' else 'outlier' end
+  when bin_size >= 1000000 then 'large' else 'cluster' end as part from m left join z using (run_id, label)""")
+def split_large_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``split_large`` of every run."""
+    return A.split_by_size(_members(spark, d), 1_000_000, 10_000, keys=("run_id", "label")).select("run_id", "contig_idx", "label", "part")
+
+
 @query(f"""with {_LAST}, x as (select run_id, count(distinct contig_idx) as n from membership group by 1)
   select run_id, count(label) as n_clustered, count(*) - count(label) as n_outliers, x.n as n_expected, count(*) = x.n as conserved from m join x using (run_id) group by run_id, x.n""")
 def conservation_check(spark: SparkSession, d: str) -> DataFrame:
@@ -390,6 +408,18 @@ def bin_naming(spark: SparkSession, d: str) -> DataFrame:
     return A.bin_names(_register(spark, d).join(labels, "contig_idx", "left"), LEAST_CONTIG, 30_000)
 
 
+@query(f"""with {_LAST}, {_REGISTER}, x as (
+    select r.run_id, c.contig_idx, coalesce(c.contig_len, 0) as len, m.label from c cross join (select distinct run_id from m) r left join m on m.run_id = r.run_id and m.contig_idx = c.contig_idx),
+  k as (select *, case when len < {LEAST_CONTIG} and len < 30000 then 'small_unbinned' when len >= {LEAST_CONTIG} and label is not null then cast(label as varchar) when len >= 30000 then 'single' else 'unbinned' end as kind from x),
+  n as (select run_id, contig_idx, row_number() over (partition by run_id order by contig_idx) as n from k where kind = 'single')
+  select run_id, contig_idx, 'bin_' || case when kind = 'single' then 'single_contig_' || n else kind end as bin from k left join n using (run_id, contig_idx)""")
+def bin_naming_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``bin_naming`` of every run, each with all contigs of the register."""
+    labels = _members(spark, d).select("run_id", "contig_idx", "label")
+    every = _register(spark, d).crossJoin(labels.select("run_id").distinct())
+    return A.bin_names(every.join(labels, ["run_id", "contig_idx"], "left"), LEAST_CONTIG, 30_000, keys=("run_id",))
+
+
 @query(r"""select contig_idx, row_number() over (order by added_at, contig_idx, contig) - 1 as row_index from contigs""")
 def contig_index(spark: SparkSession, d: str) -> DataFrame:
     return T.row_index(read(spark, d, "contigs").select("contig_idx", "added_at", "contig"), ["added_at", "contig_idx", "contig"]).select("contig_idx", "row_index")

@@ -137,10 +137,10 @@ def depth_distance_strict(spark: SparkSession, d: str) -> DataFrame:
     return _depth_search(spark, d, B.coverage_strict)
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
+def _hub_pairs(members: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame:
     """Each bin's contigs with its smallest one: as many pairs as contigs."""
-    hubs = members.groupBy("label").agg(F.min("contig_idx").alias("hub"))
-    return members.join(hubs, "label").where("hub <> contig_idx").select("label", "hub", "contig_idx")
+    hubs = members.groupBy(*keys).agg(F.min("contig_idx").alias("hub"))
+    return members.join(hubs, list(keys)).where("hub <> contig_idx").select(*keys, "hub", "contig_idx")
 
 
 _HUBS = """h as (select label, min(contig_idx) as hub from m where run_id = 1 and label is not null group by 1),
@@ -154,26 +154,54 @@ _BIN_PAIRS = """select q.contig_idx as a, q.hub as b, coalesce(x.mean, 0.0) as m
   {_area(_BIN_PAIRS, False)} select a as contig_idx, b as hub, round(distance, {DIGITS}) as distance from dist""")
 def depth_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each contig against its bin's smallest, over the samples of the latter: joins, one expression and a mean."""
+    return _hub_depths(spark, d, _hub_pairs(_members(spark, d).where("run_id = 1 and label is not null")), [])
+
+
+def _hub_depths(spark: SparkSession, d: str, pairs: DataFrame, keys: list[str]) -> DataFrame:
     # a contig of several names keeps all their rows
     named = _long(spark, d).join(_register(spark, d).select("contig_idx", "contig"), "contig")
     clean = lambda c: F.when(F.isnan(c), 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
     own = named.select("contig_idx", "sample_name", "mean", clean("var").alias("var"))
     hub = own.select(F.col("contig_idx").alias("hub"), "sample_name", F.col("mean").alias("mean_b"), F.col("var").alias("var_b"))
-    pairs = _hub_pairs(_members(spark, d).where("run_id = 1 and label is not null"))
     joined = pairs.join(hub, "hub").join(own, ["contig_idx", "sample_name"], "left").na.fill(0.0, ["mean", "var"])
     areas = D.with_overlap_area(joined, "mean", "var", "mean_b", "var_b")
-    return areas.groupBy("contig_idx", "hub").agg(F.round(D.coverage_distance(F.col("area")), DIGITS).alias("distance"))
+    return areas.groupBy(*keys, "contig_idx", "hub").agg(F.round(D.coverage_distance(F.col("area")), DIGITS).alias("distance"))
+
+
+_HUBS_RUNS = """h as (select run_id, label, min(contig_idx) as hub from m where label is not null group by 1, 2),
+  e as (select m.run_id, h.hub, m.contig_idx from m join h using (run_id, label) where h.hub <> m.contig_idx), q as (select distinct hub, contig_idx from e)"""
+
+
+def _hub_pairs_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _hub_pairs(_members(spark, d).where("label is not null"), ("run_id", "label"))
+
+
+@query(f"""with {_LAST}, {_REGISTER}, {_LONG}, {_HUBS_RUNS}, n as (select c.contig_idx, l.sample_name, l.mean, l.var from l join c using (contig)),
+  {_area(_BIN_PAIRS, False)} select e.run_id, e.contig_idx, e.hub, round(distance, {DIGITS}) as distance from dist join e on dist.a = e.contig_idx and dist.b = e.hub""")
+def depth_distance_pairs_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``depth_distance_pairs`` of every run."""
+    return _hub_depths(spark, d, _hub_pairs_runs(spark, d), ["run_id"])
 
 
 @query(f"""with {_LAST}, {_HUBS}, {_TNF} select q.contig_idx, q.hub, round({_RHO.format(x="x.f", y="y.f")}, {DIGITS}) as tnf_distance,
   round(list_distance(x.f, y.f), {DIGITS}) as euclidean from q join v x on x.id = q.contig_idx join v y on y.id = q.hub""")
 def tnf_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _hub_pairs(_members(spark, d).where("run_id = 1 and label is not null"))
+    return _hub_profiles(spark, d, _hub_pairs(_members(spark, d).where("run_id = 1 and label is not null")), [])
+
+
+def _hub_profiles(spark: SparkSession, d: str, pairs: DataFrame, keys: list[str]) -> DataFrame:
     rows = _profiles(spark, d)
     x = rows.select(F.col("id").alias("contig_idx"), F.col("vec").alias("x"))
     y = rows.select(F.col("id").alias("hub"), F.col("vec").alias("y"))
     joined = pairs.join(x, "contig_idx").join(y, "hub")
-    return joined.select("contig_idx", "hub", F.round(D.proportionality(F.col("x"), F.col("y")), DIGITS).alias("tnf_distance"), F.round(D.euclidean(F.col("x"), F.col("y")), DIGITS).alias("euclidean"))
+    return joined.select(*keys, "contig_idx", "hub", F.round(D.proportionality(F.col("x"), F.col("y")), DIGITS).alias("tnf_distance"), F.round(D.euclidean(F.col("x"), F.col("y")), DIGITS).alias("euclidean"))
+
+
+@query(f"""with {_LAST}, {_HUBS_RUNS}, {_TNF} select e.run_id, e.contig_idx, e.hub, round({_RHO.format(x="x.f", y="y.f")}, {DIGITS}) as tnf_distance,
+  round(list_distance(x.f, y.f), {DIGITS}) as euclidean from e join v x on x.id = e.contig_idx join v y on y.id = e.hub""")
+def tnf_distance_pairs_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``tnf_distance_pairs`` of every run."""
+    return _hub_profiles(spark, d, _hub_pairs_runs(spark, d), ["run_id"])
 
 
 _SKETCHES = r"""k as (select contig_idx, regexp_extract(any_value(contig), '([a-z]+[0-9]+)_', 1) as assembly, list_distinct(flatten(list(hashes))) as h from sketch where hashes is not null group by 1),
@@ -220,6 +248,23 @@ def bin_metrics_tnf(spark: SparkSession, d: str) -> DataFrame:
     return B.within_means(blocks, B.proportional, TNF).where("n > 1").select("label", "n", F.round("mean_distance", DIGITS).alias("mean_distance"))
 
 
+@query(f"""with {_LAST}, {_TNF}, x as (select m.run_id, m.label, v.id, v.f from m join v on v.id = m.contig_idx where label is not null),
+  s as (select run_id, label, id, list_transform(f, lambda u: u - list_avg(f)) as c from x),
+  z as (select run_id, label, id, c, list_sum(list_transform(c, lambda u: u * u)) as q from s),
+  n as (select run_id, label, count(*) as n from z group by 1, 2)
+  select n.run_id, n.label, n.n, w.mean_distance from n left join (
+    select a.run_id, a.label, round(avg(0.5 - list_dot_product(a.c, b.c) / (a.q + b.q)), {DIGITS}) as mean_distance from z a join z b on a.run_id = b.run_id and a.label = b.label and a.id < b.id group by 1, 2) w using (run_id, label) where n.n > 1""")
+def bin_metrics_tnf_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Mean k-mer distance within every bin of every run."""
+    members = _members(spark, d).where("label is not null").select("run_id", "label", F.col("contig_idx").alias("id"))
+    numbers = cut(A.offset_labels(members, "run_id", "label"))
+    numbered = members.join(numbers, ["run_id", "label"]).select("id", F.col("global_label").alias("bin"))
+    rows = cut(numbered.join(_profiles(spark, d), "id").repartition("bin", F.pmod(F.xxhash64("id"), F.lit(8))))
+    blocks = cut(B.pack(rows, "id", "vec", TNF, label="bin", by_label=True))
+    means = B.within_means(blocks, B.proportional, TNF).where("n > 1").withColumnRenamed("label", "global_label")
+    return means.join(numbers, "global_label").select("run_id", "label", "n", F.round("mean_distance", DIGITS).alias("mean_distance"))
+
+
 @query(f"with {_EMB} select a.label, b.label as other_label, round(avg(list_distance(a.f, b.f)), {DIGITS}) as mean_distance from v a join v b on a.label <> b.label group by 1, 2")
 def linkage(spark: SparkSession, d: str) -> DataFrame:
     blocks = cut(B.pack(_embeddings(spark, d), "id", "vec", DIMS, label="label"))
