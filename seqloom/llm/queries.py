@@ -33,10 +33,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Counts, Jaccard index and containment of the pairs that share at least a tenth of the smaller set."""
+    """Counts, Jaccard index and containment of the pairs that share at least a tenth of the smaller set; ``p3_pairs`` gives the pairs below."""
     return _overlaps(spark, d, 0.1)
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """``p3_overlaps`` of every pair with a common hash; the rows grow with the square of the sets that share one."""
+    hashes = cut(read(spark, d, "sketch").select(F.col("contig_idx").alias("s"), F.explode("hashes").alias("h")).where("s is not null and h is not null").distinct())
+    sizes = hashes.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda x: hashes.select(F.col("s").alias(f"contig_{x}"), "h")
+    counted = side("a").join(side("b"), "h").where("contig_a < contig_b").groupBy("contig_a", "contig_b").agg(F.count(F.lit(1)).alias("common_hashes"))
+    for x in "ab":
+        counted = counted.join(sizes.select(F.col("s").alias(f"contig_{x}"), F.col("n").alias(f"n_{x}")), f"contig_{x}")
+    common = F.col("common_hashes")
+    jaccard, containment = common / (F.col("n_a") + F.col("n_b") - common), common / F.least("n_a", "n_b")
+    return counted.select("contig_a", "contig_b", "common_hashes", "n_a", "n_b", jaccard.alias("jaccard"), containment.alias("containment"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = similar.mutual_pairs(_tnf(spark, d), NEAR, NEAREST, DIMS)
     return pairs.select(F.col("id_a").alias("contig_a"), F.col("id_b").alias("contig_b"))
@@ -130,7 +143,7 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_overlaps": p3_overlaps,
+    "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p3_pairs": p3_pairs,
     "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_depths": p4_depths,
     "p6_found": p6_found, "p6_members": p6_members, "p6_clusters": p6_clusters,
     "p7_pack": p7_pack, "p7_report": p7_report,
@@ -156,6 +169,8 @@ ORACLE: dict[str, str] = {
     "p3_overlaps": f"""with {_SETS} select contig_a, contig_b, common_hashes, n_a, n_b,
       common_hashes / (n_a + n_b - common_hashes) as jaccard, common_hashes / least(n_a, n_b) as containment
       from p where common_hashes >= 0.1 * least(n_a, n_b)""",
+    "p3_pairs": f"""with {_SETS} select contig_a, contig_b, common_hashes, n_a, n_b,
+      common_hashes / (n_a + n_b - common_hashes) as jaccard, common_hashes / least(n_a, n_b) as containment from p""",
     "p4_found": f"""with {_WHOLE},
       d as (select a.id as a, b.id as b, list_distance(a.f, b.f) as d from v a join v b on a.id <> b.id),
       r as (select *, row_number() over (partition by a order by d, b) as n from d)
