@@ -1,21 +1,29 @@
-"""Density clustering of bounded sets of points, in numpy: one fit, a grid of fits, and fits per bin.
+"""Density clustering of points: one fit, a grid of fits and fits per bin in numpy, and one fit over many tasks.
 
-For sets that fit in one task (at most ``MAX_POINTS``; more is an error, never
-a cut). Definitions of Campello, Moulavi and Sander: the core distance is to the
+What runs in one task takes at most ``MAX_POINTS`` (more is an error, never a
+cut); ``unbounded`` takes any number: all pairs of blocks of points, of which
+only the nearest distances and spanning forests leave a task. Definitions of Campello, Moulavi and Sander: the core distance is to the
 ``min_samples``-th nearest, the point itself counted; clusters are chosen by
 excess of mass; the root is no cluster unless ``allow_single``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_POINTS = 20_000
+from seqloom.operators import blocks as B
+from seqloom.operators.hierarchy import hierarchy, select_stable
+from seqloom.operators.spanning import cross_forest, dense_forest, forest
+from seqloom.session import cut
+
+MAX_POINTS, BLOCK = 20_000, 2048
 
 
 def checked(n: int) -> None:
@@ -197,3 +205,75 @@ def best_labels(d: np.ndarray, sizes: range = range(2, 12), samples: range = ran
             if score > best:
                 best, out = score, labels
     return out
+
+
+def _pairs(packed: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, ...]], dims: int, schema: str) -> DataFrame:
+    """*kernel* on the ids and points of every pair of blocks (both in one order), told whether both are the same."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda c, t, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_py(), t)
+                own = batch.column("block_a")[i].as_py() == batch.column("block_b")[i].as_py()
+                out = kernel(get("ids_a", np.int64), get("mat_a", float).reshape(-1, dims), get("ids_b", np.int64), get("mat_b", float).reshape(-1, dims), own)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+    side = lambda s: packed.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "mat")))
+    return side("a").join(side("b"), F.col("block_a") <= F.col("block_b")).mapInArrow(run, schema)
+
+
+def unbounded(rows: DataFrame, min_samples: int = 5, min_size: int = 5, level_links: int = 200_000) -> DataFrame:
+    """``id, label`` (null for outliers) of any number of points ``id, vec`` as ``fit`` defines them, over as many tasks as there are pairs of blocks.
+
+    Labels 0, 1, ... go by smallest id. The pairs of blocks grow with the square of
+    the points, what leaves their tasks in proportion to blocks times points.
+    Points without an id or a vector are left out; null and NaN values are 0;
+    ids are to be distinct.
+    """
+    rows = cut(rows.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("vec")))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    n, dims = size["n"], size["dims"]
+    if n < max(2, min_size):
+        return rows.select("id", F.lit(None).cast("int").alias("label"))
+    spread = max(1, -(-n // BLOCK))
+    nearest = min(min_samples, n) - 1
+
+    def packed(points: DataFrame, width: int) -> DataFrame:
+        # as many tasks as blocks, so that blocks are full
+        return cut(B.pack(points.repartition(spread, "id"), "id", "vec", width, BLOCK))
+
+    def near(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, own: bool) -> tuple[np.ndarray, ...]:
+        d = B.euclid(x, y)
+        if own:
+            np.fill_diagonal(d, np.inf)
+        out = []
+        for of, m in ((ids, d),) if own else ((ids, d), (others, d.T)):
+            k = min(nearest, m.shape[1])
+            out.append((np.repeat(of, k), np.partition(m, k - 1, axis=1)[:, :k].ravel()) if k else (of[:0], np.zeros(0)))
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+    core = rows.select("id", F.lit(0.0).alias("core"))
+    if nearest:
+        ranked = _pairs(packed(rows, dims), near, dims, "id long, distance double").where("not isnan(distance) and distance < double('inf')")
+        ranked = ranked.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("distance"))).where(F.col("n") <= nearest)
+        core = ranked.where(F.col("n") == nearest).select("id", F.col("distance").alias("core"))
+
+    def thin(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, own: bool) -> tuple[np.ndarray, ...]:
+        d = np.maximum(np.maximum(B.euclid(x[:, 1:], y[:, 1:]), x[:, :1]), y[:, 0])
+        if own:
+            np.fill_diagonal(d, np.inf)
+        i, j = (dense_forest if own else cross_forest)(d, np.finfo(float).max)
+        return ids[i], others[j], d[i, j]
+
+    reached = rows.join(core, "id").select("id", F.concat(F.array("core"), "vec").alias("vec"))
+    tree = forest(cut(_pairs(packed(reached, dims + 1), thin, dims + 1, "a long, b long, weight double")))
+    top = max(tree.edges.agg(F.max("weight")).first()[0], 1e-9)
+    entries, clusters = hierarchy(tree.edges, rows.select(F.col("id").alias("cls"), F.lit(1).cast("long").alias("n")), tree.nodes, min_size, top, level_links, floor=1e-12)
+    # the whole is no cluster
+    chosen = select_stable(clusters.withColumn("preferred", F.col("preferred") & F.col("parent").isNotNull()))
+    found = cut(entries.join(chosen, "cluster").where("chosen is not null").select(F.col("cls").alias("id"), F.col("chosen").alias("cluster")))
+    # one row per cluster
+    least = found.groupBy("cluster").agg(F.min("id").alias("least"))
+    labels = least.select("cluster", (F.row_number().over(W.orderBy("least")) - 1).cast("int").alias("label"))
+    return rows.select("id").join(found.join(labels, "cluster"), "id", "left").select("id", "label")

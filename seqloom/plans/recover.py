@@ -2,7 +2,7 @@
 
 The steps are the operators of this package; a table is kept in the shared
 folder after the features, the graphs and the embedding. Sets of more than
-``hdbscan.MAX_POINTS`` are clustered by ``density.unbounded``, with one fit in
+``hdbscan.MAX_POINTS`` are clustered by ``hdbscan.unbounded``, with one fit in
 place of a grid of fits; *cluster*, any function from ``id, vec`` to
 ``id, label``, replaces both. The layout runs in one task and raises an error
 beyond ``embedding.MAX_NODES``.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import sequences as S
 from seqloom.operators import assignments as A
 from seqloom.operators import blocks as B
-from seqloom.operators import density, embedding, graphs, hdbscan, sketched
+from seqloom.operators import embedding, graphs, hdbscan, sketched
 from seqloom.operators import tables as T
 from seqloom.session import cut
 
@@ -86,7 +86,7 @@ def cluster_each(points: DataFrame, key: str) -> DataFrame:
     small = points.where(~F.col(key).isin(large)) if large else points
     out = hdbscan.cluster_groups(small, [key], "id", "vec", choose=hdbscan.best_labels)
     for name in large:
-        found = density.unbounded(points.where(F.col(key) == name).select("id", "vec"))
+        found = hdbscan.unbounded(points.where(F.col(key) == name).select("id", "vec"))
         out = out.unionByName(found.select(F.lit(name).alias(key), "id", "label"))
     return out
 

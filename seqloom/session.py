@@ -73,7 +73,8 @@ def cut(df: DataFrame) -> DataFrame:
 
     A table rather than ``checkpoint()``: the plan that reads it starts anew, while
     a checkpoint hands on the constraints of the plan that made it, which double
-    with every join of an iteration. Files are removed when the program ends.
+    with every join of an iteration. Files are removed by ``release``, or else when
+    the program ends.
     """
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
@@ -82,7 +83,18 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_remove, root)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of kept tables (what ``cut`` returned; others are left alone) that no plan will read again."""
+    for df in tables:
+        path = df.__dict__.pop("_kept_at", None)
+        if path:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from seqloom.operators import density, hdbscan
+from seqloom.operators import hdbscan
 from seqloom.plans import recover as R
 
 
@@ -20,11 +20,12 @@ def parts(labels):
     return outliers, {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("min_samples, min_size", [(5, 5), (3, 9)])
-def test_unbounded_equals_the_fit_of_one_task(spark, min_samples, min_size):
+@pytest.mark.parametrize("min_samples, min_size, level_links", [(5, 5, 200_000), (3, 9, 200_000), (5, 5, 60)])
+def test_unbounded_equals_the_fit_of_one_task(spark, monkeypatch, min_samples, min_size, level_links):
+    monkeypatch.setattr(hdbscan, "BLOCK", 50)
     x = blobs()
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
-    got = {r.id: r.label for r in density.unbounded(rows, min_samples, min_size).collect()}
+    got = {r.id: r.label for r in hdbscan.unbounded(rows, min_samples, min_size, level_links).collect()}
     want = {i: None if v < 0 else int(v) for i, v in enumerate(hdbscan.fit(hdbscan.pairwise(x), min_samples, min_size))}
     assert len(set(want.values())) > 2
     assert parts(got) == parts(want) and got == want
