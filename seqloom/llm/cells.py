@@ -146,16 +146,16 @@ def fit(sample: np.ndarray, n_rows: int, radius: float, block_rows: int) -> Cell
     most = min(PIVOTS, max(LEAST_PIVOTS, n_rows // PER_PIVOT))
     best = (float(m) ** 2, np.zeros((0, dims)), 0.0)
     if m > 8:
-        # half precision will do: the distances only choose the cells
-        d, nearest = np.empty((m, m), np.float16), np.empty(m)
         small = (sample - sample.mean(0)).astype(np.float32)
-        for at in range(0, m, 512):
-            strip = distances(small[at : at + 512], small)
-            nearest[at : at + 512] = np.partition(strip, 5, axis=1)[:, 5]
-            d[at : at + 512] = strip
-        d = np.minimum(d, d.T)
-        for reach in sorted({max(float(q), 1e-12) * f for q in np.quantile(nearest, (0.1, 0.5)) for f in (1, 1.5, 2, 3, 4, 6)}):
-            groups = _cover(d <= np.float16(reach), most, 3)
+        strips = [distances(small[at : at + 512], small) for at in range(0, m, 512)]
+        nearest = np.quantile(np.concatenate([np.partition(x, 5, axis=1)[:, 5] for x in strips]), (0.1, 0.5))
+        reaches = sorted({max(float(q), 1e-12) * f for q in nearest for f in (1, 1.5, 2, 3, 4, 6)})
+        # 16 bits will do: the distances only choose the cells
+        unit = reaches[-1] / 60_000
+        d = np.concatenate([np.minimum(x / unit, 65_535).astype(np.uint16) for x in strips])
+        d, strips = np.minimum(d, d.T), []
+        for reach in reaches:
+            groups = _cover(d <= np.uint16(reach / unit), most, 2)
             if not groups:
                 continue
             pivots = np.array([sample[g].mean(0) for g in groups])
