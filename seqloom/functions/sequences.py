@@ -133,16 +133,60 @@ def kmer_size(n_columns: Column) -> Column:
     return F.round(F.log(4.0, n_columns.cast("double"))).cast("int")
 
 
+# fixed values: two odd 64-bit multipliers
+MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+WINDOWS = 1 << 18
+
+
+def mixed(codes: np.ndarray) -> np.ndarray:
+    """Well-spread unsigned 64-bit hashes of k-mer codes."""
+    h = codes * np.uint64(MIX_A)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(MIX_B)
+    return h ^ (h >> np.uint64(29))
+
+
+def sketch_of(data: np.ndarray, k: int, scale: float) -> tuple[int, np.ndarray]:
+    """The k-mers of a sequence's bytes without other letters, and their distinct kept hashes, sorted; in time proportional to the length."""
+    code = np.full(256, 4, np.uint8)
+    for i, b in enumerate(BASES):
+        code[ord(b)] = i
+    # up to 31 letters a code is the k-mer as a number; beyond, letters are weighed by powers of an odd number
+    base = 4 if k <= 31 else MIX_B
+    powers = np.cumprod(np.array([1] + [base] * (k - 1), np.uint64), dtype=np.uint64)
+    top = np.uint64(int(scale * float(1 << 63)))
+    n, kept = 0, [np.zeros(0, np.uint64)]
+    for at in range(0, len(data) - k + 1, WINDOWS):
+        part = code[data[at : at + WINDOWS + k - 1]]
+        windows = len(part) - k + 1
+        forward, back, bad = np.zeros(windows, np.uint64), np.zeros(windows, np.uint64), np.zeros(windows, bool)
+        for i in range(k):
+            letter = part[i : i + windows]
+            bad |= letter == 4
+            wide = letter.astype(np.uint64)
+            forward += wide * powers[k - 1 - i]
+            back += (np.uint64(3) - wide) * powers[i]
+        n += windows - int(bad.sum())
+        h = mixed(np.minimum(forward, back)[~bad])
+        kept.append(np.unique(h[(h >> np.uint64(1)) < top]))
+    return n, np.unique(np.concatenate(kept).astype(np.int64))
+
+
 def scaled_sketch(contigs: DataFrame, key: str, seq: str, k: int = 31, scale: float = 0.1) -> DataFrame:
     """``key, seq_length, n_kmers, hashes``: the distinct canonical k-mer hashes in the lowest *scale* of the hash range, sorted.
 
-    Hashes are unsigned 64-bit; shifted right by one they compare as longs. Each
-    contig is hashed within its row, so nothing is shuffled.
+    Hashes are unsigned 64-bit, kept as longs; shifted right by one they compare as
+    such. Each contig is hashed within its row, so nothing is shuffled. A null
+    sequence is an empty one.
     """
-    top = int(scale * float(1 << 63))
-    text = normalised(F.col(seq))
-    starts = F.sequence(F.lit(1), F.length("s") - (k - 1))
-    words = F.filter(F.transform(starts, lambda i: F.substring(F.col("s"), i, F.lit(k))), lambda w: ~F.contains(w, F.lit("N")))
-    rows = contigs.select(key, text.alias("s")).select(key, F.length("s").alias("seq_length"), F.when(F.length("s") >= k, words).otherwise(F.array().cast("array<string>")).alias("w"))
-    hashes = F.filter(F.transform("w", lambda w: F.xxhash64(canonical(w))), lambda h: F.shiftrightunsigned(h, 1) < F.lit(top))
-    return rows.select(key, "seq_length", F.size("w").alias("n_kmers"), F.array_sort(F.array_distinct(hashes)).alias("hashes"))
+    kind = contigs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch_of(np.frombuffer((x or "").encode(), np.uint8), k, scale) for x in batch.column("seq").to_pylist()]
+            edges = np.concatenate(([0], np.cumsum([len(h) for _, h in found]))).astype(np.int64)
+            hashes = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([h for _, h in found]) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("seq_length"), pa.array([n for n, _ in found], pa.int64()), hashes], ["key", "seq_length", "n_kmers", "hashes"])
+
+    text = F.coalesce(normalised(F.col(seq)), F.lit(""))
+    slim = contigs.select(F.col(key).alias("key"), text.alias("seq")).select("key", "seq", F.length("seq").alias("seq_length"))
+    return slim.mapInArrow(run, f"key {kind}, seq_length int, n_kmers bigint, hashes array<bigint>").withColumnRenamed("key", key)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.operators.tables import numbered
+
 
 def latest_assignments(membership: DataFrame) -> DataFrame:
     """One row per run and contig: the last assigned, the smaller label (outliers first) on ties."""
@@ -44,22 +45,22 @@ def fold_small(members: DataFrame, keys: tuple[str, ...], least_size: int, lengt
 def dense_labels(members: DataFrame, run: str = "run_id") -> DataFrame:
     """Labels renumbered 0, 1, ... per run by their smallest contig, so that the numbers depend on no order of rows."""
     least = members.where("label is not null").groupBy(run, "label").agg(F.min("contig_idx").alias("__least"))
-    # one row per label
-    numbered = least.withColumn("dense_label", F.row_number().over(W.partitionBy(run).orderBy("__least", "label")) - 1)
-    return members.join(numbered.drop("__least"), [run, "label"], "left")
+    ranked = numbered(least, [run], ["__least", "label"], "__n").select(run, "label", F.col("__n").cast("int").alias("dense_label"))
+    return members.join(ranked, [run, "label"], "left")
 
 
 def offset_labels(bins: DataFrame, bin_: str, label: str) -> DataFrame:
-    """A global number 1, 2, ... for every (bin, label) in that order; one row per label, so one window is fine."""
+    """A global number 1, 2, ... for every (bin, label) in that order."""
     distinct = bins.where(F.col(label).isNotNull()).select(bin_, label).distinct()
-    return distinct.withColumn("global_label", F.row_number().over(W.orderBy(bin_, label)))
+    return numbered(distinct, [], [bin_, label], "__n").select(bin_, label, (F.col("__n") + 1).cast("int").alias("global_label"))
 
 
 def merge_clusterings(a: DataFrame, b: DataFrame) -> DataFrame:
     """Both clusterings' members; b's labels are renumbered from a's largest plus one in their order, and b's outliers replace a's."""
     top = a.agg(F.coalesce(F.max("label"), F.lit(0)).alias("top"))
     labels = b.where("label is not null").select("label").distinct()
-    moved = labels.crossJoin(F.broadcast(top)).select("label", (F.row_number().over(W.orderBy("label")) + F.col("top")).alias("new_label"))
+    # one row of a's largest label
+    moved = numbered(labels, [], ["label"], "__n").crossJoin(F.broadcast(top)).select("label", (F.col("__n") + 1 + F.col("top")).cast("int").alias("new_label"))
     theirs = b.join(moved, "label", "left").select(F.col("new_label").alias("label"), "contig_idx")
     return a.where("label is not null").select("label", "contig_idx").unionByName(theirs)
 
@@ -75,9 +76,9 @@ def merge_by_super_clusters(members: DataFrame, supers: DataFrame, keys: tuple[s
     joined = members.where("label is not null").join(supers, [*keys, "label"], "left")
     key = F.when(F.col("super_label").isNull(), F.struct(F.lit(1).alias("alone"), F.col("label").cast("long").alias("k"))).otherwise(F.struct(F.lit(0).alias("alone"), F.col("super_label").cast("long").alias("k")))
     grouped = joined.withColumn("__key", key)
-    order = grouped.groupBy(*keys, "__key").agg(F.min("label").alias("__least"))
-    numbered = order.select(*keys, "__key", (F.row_number().over(W.partitionBy(*keys).orderBy(F.col("__key.alone"), "__least")) - 1).alias("merged_label"))
-    return grouped.join(numbered, [*keys, "__key"]).select(*keys, "merged_label", "contig_idx")
+    order = grouped.groupBy(*keys, "__key").agg(F.min("label").alias("__least")).withColumn("__alone", F.col("__key.alone"))
+    ranked = numbered(order, keys, ["__alone", "__least"], "__n").select(*keys, "__key", F.col("__n").cast("int").alias("merged_label"))
+    return grouped.join(ranked, [*keys, "__key"]).select(*keys, "merged_label", "contig_idx")
 
 
 def split_by_size(members: DataFrame, most: int, least: int, remove_large: bool = True, length: str = "contig_len", keys: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -113,8 +114,7 @@ def bin_names(contigs: DataFrame, least_contig: int, least_bin: int, prefix: str
     big = F.coalesce(F.col("contig_len"), F.lit(0)) >= least_bin
     kind = F.when(small & ~big, "small_unbinned").when(~small & F.col("label").isNotNull(), "label").when(big, "single").otherwise("unbinned")
     rows = contigs.withColumn("__kind", kind)
-    # few contigs are as long as a whole bin; they alone are numbered
-    single = rows.where("__kind = 'single'").select(*keys, "contig_idx", F.row_number().over(W.partitionBy(*keys).orderBy("contig_idx")).alias("__n"))
+    single = numbered(rows.where("__kind = 'single'").select(*keys, "contig_idx"), keys, ["contig_idx"], "__n").withColumn("__n", F.col("__n") + 1)
     named = rows.join(single, [*keys, "contig_idx"], "left")
     lone = F.concat(F.lit(f"single_contig_{tag}_" if tag else "single_contig_"), F.col("__n").cast("string"))
     name = F.when(F.col("__kind") == "label", F.col("label").cast("string")).when(F.col("__kind") == "single", lone).otherwise(F.col("__kind"))
@@ -131,6 +131,11 @@ def conservation(members: DataFrame, expected: DataFrame, keys: tuple[str, ...]
     return counted.join(expected, list(keys), "left").withColumn("conserved", F.col("n_clustered") + F.col("n_outliers") == F.col("n_expected"))
 
 
+def bin_names_of(members: DataFrame, names: DataFrame, keys: tuple[str, ...] = ("run_id", "label")) -> DataFrame:
+    """The distinct names of each bin's contigs, a row each; *names*: ``contig_idx, contig``."""
+    return members.where("label is not null").join(names.where("contig is not null"), "contig_idx").select(*keys, "contig").distinct()
+
+
 def contig_to_cluster(clusters: DataFrame) -> DataFrame:
     """``label, members array`` exploded to ``contig_idx, label``."""
     return clusters.select(F.explode("members").alias("contig_idx"), "label")

@@ -13,6 +13,13 @@ length has neither. The variance is that of a sample of positions (over n - 1).
 
 from __future__ import annotations
 
+import gzip
+import struct
+from collections.abc import Iterator, Sequence
+from itertools import batched
+from typing import BinaryIO
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,10 +52,69 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("value", "\t")
     rows = spark.read.text(path).where("value not like '@%'").select(cells.alias("c")).where(F.size("c") >= 11)
     flag = F.col("c")[1].cast("int")
-    mapped = rows.where((flag.bitwiseAND(F.lit(0x4 | 0x100 | 0x800)) == 0) & (F.col("c")[5] != "*"))
+    mapped = rows.where((flag.bitwiseAND(F.lit(UNMAPPED)) == 0) & (F.col("c")[5] != "*"))
     return mapped.select(F.col("c")[2].alias("contig"), (F.col("c")[3].cast("long") - 1).alias("start"), F.col("c")[5].alias("cigar"))
 
 
+# fixed values: the operations of packed CIGARs in their order
+CIGAR = "MIDNSHP=X"
+UNMAPPED = 0x4 | 0x100 | 0x800
+
+
+def bam_records(stream: BinaryIO) -> Iterator[tuple[str, int, str]]:
+    """``contig, start, cigar`` of the mapped primary alignments of an unpacked BAM stream, read record by record."""
+
+    def exactly(n: int) -> bytes:
+        data = stream.read(n)
+        if len(data) < n:
+            raise ValueError("a BAM file ends within a record")
+        return data
+
+    def number() -> int:
+        return struct.unpack("<i", exactly(4))[0]
+
+    if exactly(4) != b"BAM\1":
+        raise ValueError("not a BAM file")
+    exactly(number())
+    names = []
+    for _ in range(number()):
+        names.append(exactly(number())[:-1].decode())
+        number()
+    while size := stream.read(4):
+        body = exactly(struct.unpack("<i", size)[0])
+        ref, start, name, _, _, ops, flag = struct.unpack_from("<iiBBHHH", body)
+        if ref >= 0 and start >= 0 and ops and not flag & UNMAPPED:
+            packed = struct.unpack_from(f"<{ops}I", body, 32 + name)
+            yield names[ref], start, "".join(f"{x >> 4}{CIGAR[x & 15]}" for x in packed)
+
+
+def read_bam(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``contig, start, cigar, path`` of the mapped primary alignments of BAM files in a folder that all executors see; each file is streamed by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with gzip.open(path.removeprefix("file://"), "rb") as stream:
+                    for rows in batched(bam_records(stream), 8192):
+                        contig, start, cigar = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(contig), pa.array(start, pa.int64()), pa.array(cigar), pa.array([path] * len(rows))], ["contig", "start", "cigar", "path"])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    return files.mapInArrow(run, "contig string, start long, cigar string, path string")
+
+
+def sample_coverage(spark: SparkSession, manifest: DataFrame, contigs: DataFrame) -> DataFrame:
+    """``contig, contig_len, sample_name, mean, var`` of the alignment files (``path1``: SAM or BAM) of a manifest, one sample each."""
+    out = spark.createDataFrame([], "contig string, contig_len long, sample_name string, mean double, var double")
+    for r in manifest.select("sample_name", "path1").distinct().collect():  # one row per file
+        found = read_bam(spark, [r["path1"]]) if r["path1"].endswith(".bam") else read_sam(spark, r["path1"])
+        # the sample's name is what a coverage table would call it
+        name = r["sample_name"].rpartition("/")[2].removesuffix(".sam").replace(".bam", "")
+        depths = coverage_of(found.select("contig", "start", "cigar"), contigs)
+        out = out.unionByName(depths.where("mean is not null").select("contig", "contig_len", F.lit(name).alias("sample_name"), "mean", "var"))
+    return out
+
+
 def depth_steps(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
     """``contig, at, depth, length``: stretches of constant depth above 0."""
     whole = alignments.where("contig is not null and start is not null and cigar is not null")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.session import cut, release
+
 MAX_NODES = 200_000
 
 
@@ -18,23 +20,27 @@ def fuzzy_weights(edges: DataFrame, steps: int = 40) -> DataFrame:
 
     A node's neighbours are few (k), so they are handled as one array.
     """
-    near = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("distance", "dst"))).alias("n"))
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = []
-            for src, n in zip(pdf.src, pdf.n, strict=True):
-                d = np.array([x["distance"] for x in n])
-                gap = d - d.min()
-                low, high, want = 1e-12, max(gap.max(), 1e-6) * 1e3, max(np.log2(len(d)), 1e-3)
-                for _ in range(steps):
-                    sigma = (low + high) / 2
-                    low, high = (sigma, high) if np.exp(-gap / sigma).sum() < want else (low, sigma)
-                weight = np.exp(-gap / max(high, 1e-12))
-                out += [(src, x["dst"], float(w)) for x, w in zip(n, weight, strict=True)]
-            yield pd.DataFrame(out, columns=["src", "dst", "w"])
-
-    one = near.mapInPandas(run, "src long, dst long, w double")
+    near = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("distance", "dst"))).alias("n")).select("src", F.transform("n", lambda x: x["distance"]).alias("d"), F.transform("n", lambda x: x["dst"]).alias("to"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, to = batch.column("d"), batch.column("to").flatten()
+            size = np.diff(d.offsets.to_numpy())
+            # one row of a matrix for each node; places that a node has no neighbour for weigh nothing
+            has = np.arange(size.max(initial=0)) < size[:, None]
+            gap = np.full(has.shape, np.inf)
+            gap[has] = d.flatten().to_numpy()
+            gap -= gap.min(1, initial=np.inf)[:, None]
+            widest = np.where(has, gap, 0).max(1, initial=0)
+            low, high, want = np.full(len(size), 1e-12), np.maximum(widest, 1e-6) * 1e3, np.maximum(np.log2(np.maximum(size, 1)), 1e-3)
+            for _ in range(steps):
+                sigma = (low + high) / 2
+                less = np.exp(-gap / sigma[:, None]).sum(1) < want
+                low, high = np.where(less, sigma, low), np.where(less, high, sigma)
+            weight = np.exp(-gap / np.maximum(high, 1e-12)[:, None])[has]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("src").to_numpy(), size)), to, pa.array(weight)], ["src", "dst", "w"])
+
+    one = near.mapInArrow(run, "src long, dst long, w double")
     both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w").withColumn("w", F.col("w")))
     # at most two weights of a pair, one of each direction
     return both.groupBy("src", "dst").agg((F.sum("w") - F.when(F.count("w") > 1, F.exp(F.sum(F.ln("w")))).otherwise(0.0)).alias("weight"))
@@ -90,8 +96,8 @@ def embed(weights: DataFrame, dims: int, seed: int = 42) -> DataFrame:
 def embed_with_retry(build: Callable[[int], DataFrame], k: int, dims: int, tries: int = 5, step: int = 10) -> DataFrame:
     """Embeds the graph ``build(k)``; where a node gets no finite place, again with *step* more neighbours, on the same nodes."""
     for n in range(tries):
-        out = embed(fuzzy_weights(build(k + n * step)), dims).persist()
+        out = cut(embed(fuzzy_weights(build(k + n * step)), dims))
         if out.where(F.exists("vec", lambda v: F.isnan(v))).isEmpty():
             return out
-        out.unpersist()
+        release(out)
     raise ValueError("the graph could not be embedded")

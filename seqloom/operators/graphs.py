@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import cut
+from seqloom.session import cut, release
 
 
 def mutual(edges: DataFrame, keep_n: int) -> DataFrame:
@@ -34,20 +34,23 @@ def disconnected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("src").join(edges.select("src").distinct(), "src", "left_anti")
 
 
-def prefilter(nodes: DataFrame, build: Callable[[DataFrame, int], DataFrame], keep_n: int, step: int, rounds: int = 1, most: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prefilter(nodes: DataFrame, build: Callable[[DataFrame, int], DataFrame], keep_n: int, step: int, rounds: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Removes disconnected nodes and builds the graph again, until none is left: nodes, edges, removed nodes.
 
-    After *rounds* rounds *keep_n* grows by *step* each time, which ends the loop.
+    After *rounds* rounds *keep_n* grows by *step* each time; every round removes
+    nodes, so the loop ends, at the latest with no node.
     """
     nodes, removed = cut(nodes.select("src").distinct()), []
-    for n in range(most):
+    while True:
         edges = cut(build(nodes, keep_n))
         alone = cut(disconnected(nodes, edges))
         if alone.isEmpty():
             break
+        release(edges)
         removed.append(alone)
-        nodes = cut(nodes.join(alone, "src", "left_anti"))
-        keep_n += step if n + 1 >= rounds else 0
+        before, nodes = nodes, cut(nodes.join(alone, "src", "left_anti"))
+        release(before)
+        keep_n += step if len(removed) >= rounds else 0
     gone = nodes.limit(0)
     for r in removed:
         gone = gone.unionByName(r)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import blocks as B
 from seqloom.operators.hierarchy import hierarchy, select_stable
 from seqloom.operators.spanning import cross_forest, dense_forest, forest
+from seqloom.operators.tables import numbered
 from seqloom.session import cut
 
 MAX_POINTS, BLOCK = 20_000, 2048
@@ -273,7 +274,6 @@ def unbounded(rows: DataFrame, min_samples: int = 5, min_size: int = 5, level_li
     # the whole is no cluster
     chosen = select_stable(clusters.withColumn("preferred", F.col("preferred") & F.col("parent").isNotNull()))
     found = cut(entries.join(chosen, "cluster").where("chosen is not null").select(F.col("cls").alias("id"), F.col("chosen").alias("cluster")))
-    # one row per cluster
     least = found.groupBy("cluster").agg(F.min("id").alias("least"))
-    labels = least.select("cluster", (F.row_number().over(W.orderBy("least")) - 1).cast("int").alias("label"))
+    labels = numbered(least, [], ["least"], "n").select("cluster", F.col("n").cast("int").alias("label"))
     return rows.select("id").join(found.join(labels, "cluster"), "id", "left").select("id", "label")

@@ -3,8 +3,8 @@
 A key's existence is the running sum of +1 where a record of it begins and -1
 where it ends; a reference with a running sum of 0 is an orphan. Adds and
 references per key are kept the same way, so late records only add deltas.
-Keys with very many rows are split by day: a day's opening sum comes from the
-signed sums of the days before, and only the day's own rows are ordered.
+Keys with very many rows are split by hour: an hour's opening sum comes from the
+signed sums of the hours before, and only the hour's own rows are ordered.
 
 Defined results: a record without a begin, or that ends no later than it
 begins, never exists but still makes its key known; a reference with a null key
@@ -53,25 +53,25 @@ def orphans(refs: DataFrame, deltas: DataFrame, hot_rows: int = 1_000_000) -> Da
             F.lit(0).alias("alive"), F.lit(0).alias("adds"), F.lit(0).alias("known"), F.lit(1).alias("is_ref"),
         )
     )
-    # at most rows / hot_rows keys; whether there are any decides if the day split is planned at all
+    # at most rows / hot_rows keys; whether there are any decides if the split by hour is planned at all
     hot = cut(events.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key", F.lit(True).alias("hot")))
     split = not hot.isEmpty()
-    day = F.when(F.col("hot"), F.to_date("at")) if split else F.lit(None).cast("date")
-    events = (events.join(hot, "key", "left") if split else events.withColumn("hot", F.lit(None))).withColumn("day", day).drop("hot")
+    hour = F.when(F.col("hot"), F.date_trunc("hour", "at")) if split else F.lit(None).cast("timestamp")
+    events = (events.join(hot, "key", "left") if split else events.withColumn("hot", F.lit(None))).withColumn("hour", hour).drop("hot")
     # changes come before the references of their moment: added_at <= t counts, removed_at = t ends; nulls sort first
-    upto = W.partitionBy("key", "day").orderBy("at", "is_ref").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy("key", "hour").orderBy("at", "is_ref").rowsBetween(W.unboundedPreceding, 0)
     run = events.select(
         "*", F.sum("alive").over(upto).alias("alive_now"), F.sum("adds").over(upto).alias("adds_now"),
-        F.max("known").over(W.partitionBy("key", "day")).alias("is_known"),
+        F.max("known").over(W.partitionBy("key", "hour")).alias("is_known"),
     )
     found = run.where("is_ref = 1 and (at is null or alive_now <= 0)")
     if split:
-        sums = events.where("day is not null").groupBy("key", "day").agg(F.sum("alive").alias("a"), F.sum("adds").alias("d"))
-        before = W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-        opening = sums.select("key", "day", F.sum("a").over(before).alias("open_alive"), F.sum("d").over(before).alias("open_adds"))
+        sums = events.where("hour is not null").groupBy("key", "hour").agg(F.sum("alive").alias("a"), F.sum("adds").alias("d"))
+        before = W.partitionBy("key").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+        opening = sums.select("key", "hour", F.sum("a").over(before).alias("open_alive"), F.sum("d").over(before).alias("open_adds"))
         known = events.join(hot, "key", "left_semi").groupBy("key").agg(F.max("known").alias("hot_known"))
         found = (
-            found.join(opening, ["key", "day"], "left")
+            found.join(opening, ["key", "hour"], "left")
             .join(known, "key", "left")
             .withColumn("alive_now", F.col("alive_now") + F.coalesce("open_alive", F.lit(0)))
             .withColumn("adds_now", F.col("adds_now") + F.coalesce("open_adds", F.lit(0)))

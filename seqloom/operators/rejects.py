@@ -9,7 +9,8 @@ per line, apart from the header lines.
 Defined results: a null line is an empty line. A line whose file has no row in
 the register, or a null ``n_samples``, fails ``column_count``. A null
 ``line_no`` is not 1. Repeated rows of the register count once (the largest
-``n_samples``). A length of more than 18 digits is valid, and its value null.
+``n_samples``). A length of more than 18 digits is valid; it is kept as digits in
+``long_len``, and ``contig_len`` is null.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ PLAIN = r"^[0-9]{1,300}(\.[0-9]{1,300})?$"
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 PARSED = (
     "line_id long, file_id long, line_no int, reason string, names array<string>, contig string,"
-    " contig_len long, avg_depth double, depths array<double>, variances array<double>"
+    " contig_len long, long_len string, avg_depth double, depths array<double>, variances array<double>"
 )
 
 
@@ -156,16 +157,17 @@ def parse_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     def column(shift: int) -> pa.Array:
         return fields.take(pa.array(at_name + shift, pa.int64(), mask=none))
 
-    length = column(1)
-    length = pc.cast(pc.if_else(pc.less(pc.utf8_length(length), 19), length, None), pa.int64())
+    digits = column(1)
+    short = pc.less(pc.utf8_length(digits), 19)
+    length, long_length = pc.cast(pc.if_else(short, digits, None), pa.int64()), pc.if_else(short, None, digits)
     average = pa.array(value, pa.float64()).take(pa.array(at_name + 2, pa.int64(), mask=none))
     depths, variances = (pa.ListArray.from_arrays(edges, pa.array(x, pa.float64()), mask=pa.array(none)) for x in (odd, even))
     return pa.RecordBatch.from_arrays(
         [
             *(pc.cast(batch.column(c), t) for c, t in (("line_id", pa.int64()), ("file_id", pa.int64()), ("line_no", pa.int32()))),
-            pa.array(reason, pa.string()), pa.array(names, pa.list_(pa.string())), column(0), length, average, depths, variances,
+            pa.array(reason, pa.string()), pa.array(names, pa.list_(pa.string())), column(0), length, long_length, average, depths, variances,
         ],
-        ["line_id", "file_id", "line_no", "reason", "names", "contig", "contig_len", "avg_depth", "depths", "variances"],
+        ["line_id", "file_id", "line_no", "reason", "names", "contig", "contig_len", "long_len", "avg_depth", "depths", "variances"],
     )
 
 
@@ -190,15 +192,18 @@ def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.where("reason is not null").select("line_id", "file_id", "line_no", "reason")
 
 
-def coverage_rows(parsed: DataFrame) -> DataFrame:
-    """One row per valid line and sample. ``sample_name`` is null where the file's own header was rejected."""
-    headers = parsed.where("names is not null").groupBy("file_id").agg(F.min_by("names", "line_id").alias("names"))
+def coverage_rows(parsed: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """One row per valid line and sample. ``sample_name`` is null where the file's own header was rejected.
+
+    *headers* are the parsed first lines, so that not all lines are parsed again for them.
+    """
+    heads = (parsed if headers is None else headers).where("names is not null").groupBy("file_id").agg(F.min_by("names", "line_id").alias("names"))
     body = parsed.where("reason is null and depths is not null").select(
-        "line_id", "file_id", "contig", "contig_len", "avg_depth",
+        "line_id", "file_id", "contig", "contig_len", "long_len", "avg_depth",
         F.posexplode(F.arrays_zip(F.col("depths").alias("mean"), F.col("variances").alias("var"))).alias("k", "pair"),
     )
-    return body.join(headers, "file_id", "left").select(
-        "line_id", "file_id", "contig", "contig_len", "avg_depth",
+    return body.join(heads, "file_id", "left").select(
+        "line_id", "file_id", "contig", "contig_len", "long_len", "avg_depth",
         (F.col("k") + 1).alias("sample_no"), F.get("names", F.col("k")).alias("sample_name"),
         F.col("pair.mean").alias("mean_depth"), F.col("pair.var").alias("var_depth"),
     )

@@ -20,7 +20,7 @@ from seqloom.operators.blocks import Kernel
 from seqloom.session import cut
 
 ROWS, HASHES, HOT, PAIRS, WIDE = 512, 1 << 18, 256, 1 << 22, 2048
-_BLOCK = "ids binary, mat binary, sizes binary, hashes binary, rows binary"
+_BLOCK = "ids binary, mat binary, sizes binary, hashes binary, rows binary, label int, block long"
 
 
 def common_hashes(h: np.ndarray, at: np.ndarray, n: int, g: np.ndarray, to: np.ndarray, m: int) -> np.ndarray:
@@ -58,19 +58,25 @@ def sketch_distances(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.nda
 
 
 def pack(rows: DataFrame, dims: int) -> DataFrame:
-    """*rows* (``id, vec, hashes``, hashes distinct) as blocks of at most ROWS rows and HASHES hashes, or one row of more; made where the rows lie."""
+    """*rows* (``id, vec, hashes``, hashes distinct) as blocks of at most ROWS rows and HASHES hashes, or one row of more; made where the rows lie.
 
-    def block(kept: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    With a column ``label`` (int), a block ends where the label changes, so rows should lie in its order.
+    """
+    labels = "label" in rows.columns
+
+    def block(kept: list[tuple[int, np.ndarray, np.ndarray]], label: int | None, number: int) -> pa.RecordBatch:
         ids, x, h = zip(*kept, strict=True)
         sizes = np.array([len(z) for z in h], np.int64)
         hashes, at = np.concatenate(h), np.repeat(np.arange(len(h), dtype=np.int16), sizes)
         order = np.argsort(hashes, kind="stable")
         parts = (np.array(ids, np.int64), np.stack(x), sizes, hashes[order], at[order])
-        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(z).tobytes()], pa.binary()) for z in parts], ["ids", "mat", "sizes", "hashes", "rows"])
+        return pa.RecordBatch.from_arrays([*(pa.array([np.ascontiguousarray(z).tobytes()], pa.binary()) for z in parts), pa.array([label], pa.int32()), pa.array([number], pa.int64())], ["ids", "mat", "sizes", "hashes", "rows", "label", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         kept: list[tuple[int, np.ndarray, np.ndarray]] = []
-        held = 0
+        held, label, number = 0, None, TaskContext.get().partitionId() << 32
         for batch in batches:
             for i in range(batch.num_rows):
                 if not (batch.column("id")[i].is_valid and batch.column("vec")[i].is_valid and batch.column("hashes")[i].is_valid):
@@ -79,20 +85,22 @@ def pack(rows: DataFrame, dims: int) -> DataFrame:
                 h = batch.column("hashes")[i].values.to_numpy(zero_copy_only=False)
                 if len(x) != dims or np.isnan(x).any():
                     continue
-                if kept and (len(kept) == ROWS or held + len(h) > HASHES):
-                    yield block(kept)
-                    kept, held = [], 0
+                here = batch.column("label")[i].as_py() if labels else None
+                if kept and (len(kept) == ROWS or held + len(h) > HASHES or here != label):
+                    yield block(kept, label, number)
+                    kept, held, number = [], 0, number + 1
+                label = here
                 kept.append((batch.column("id")[i].as_py(), x, h.astype(np.int64)))
                 held += len(h)
         if kept:
-            yield block(kept)
+            yield block(kept, label, number)
 
-    slim = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("hashes").cast("array<long>").alias("hashes"))
+    slim = rows.select(*(["label"] if labels else []), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("hashes").cast("array<long>").alias("hashes"))
     return slim.mapInArrow(run, _BLOCK)
 
 
-def search(rows: DataFrame, kernel: Kernel, k: int, dims: int) -> DataFrame:
-    """``id, neighbour, distance, rank``: the k nearest of *rows* (``id, vec, hashes``) for each of them by the kernel's distance times the sketch distance; ties go by the smaller id."""
+def search(rows: DataFrame, kernel: Kernel, k: int, dims: int, digits: int | None = None) -> DataFrame:
+    """``id, neighbour, distance, rank``: the k nearest of *rows* (``id, vec, hashes``) for each of them by the kernel's distance times the sketch distance; ties go by the smaller id. With *digits*, products are rounded before they are ranked."""
 
     def side(batch: pa.RecordBatch, i: int, s: str) -> tuple[np.ndarray, ...]:
         get = lambda c, t: np.frombuffer(batch.column(f"{c}_{s}")[i].as_py(), t)
@@ -104,6 +112,7 @@ def search(rows: DataFrame, kernel: Kernel, k: int, dims: int) -> DataFrame:
                 ids, x, n, h, at = side(batch, i, "q")
                 others, y, m, g, to = side(batch, i, "b")
                 d = kernel(x, y) * sketch_distances(common_hashes(h, at, len(ids), g, to, len(others)), n, m)
+                d = np.round(d, digits) if digits is not None else d
                 d[ids[:, None] == others] = np.inf
                 most = min(k, d.shape[1])
                 kth = np.partition(d, most - 1, axis=1)[:, most - 1]
@@ -120,3 +129,28 @@ def search(rows: DataFrame, kernel: Kernel, k: int, dims: int) -> DataFrame:
     tiles = sided("q").crossJoin(sided("b")).mapInArrow(run, "id long, neighbour long, distance double")
     to = W.partitionBy("id").orderBy("distance", "neighbour")
     return tiles.withColumn("rank", F.row_number().over(to)).where(F.col("rank") <= k)
+
+
+def within_means(rows: DataFrame) -> DataFrame:
+    """``label, n, mean_distance`` of ``id, label, hashes``: the mean sketch distance over the pairs of each label; NaN for a single row. A label's tiles are spread over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                get = lambda c, t, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_py(), t)
+                n, m = get("sizes_a", np.int64), get("sizes_b", np.int64)
+                own = batch.column("block_a")[i].as_py() == batch.column("block_b")[i].as_py()
+                common = common_hashes(get("hashes_a", np.int64), get("rows_a", np.int16), len(n), get("hashes_b", np.int64), get("rows_b", np.int16), len(m))
+                d = sketch_distances(common, n, m)
+                out.append((batch.column("label_a")[i].as_py(), float(np.triu(d, 1).sum() if own else d.sum()), len(n) if own else 0))
+            label, total, n = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(total, pa.float64()), pa.array(n, pa.int64())], ["label", "total", "n"])
+
+    spread = rows.where("label is not null").repartition("label", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("label")
+    packed = cut(pack(spread.select("id", "label", F.array(F.lit(0.0)).alias("vec"), "hashes"), 1))
+    sided = lambda s: packed.select(*(F.col(c).alias(f"{c}_{s}") for c in packed.columns if c not in ("ids", "mat")))
+    tiles = sided("a").join(sided("b"), (F.col("label_a") == F.col("label_b")) & (F.col("block_a") <= F.col("block_b")))
+    sums = tiles.mapInArrow(run, "label int, total double, n long").groupBy("label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    pairs = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    return sums.select("label", "n", F.when(F.col("n") > 1, F.col("total") / pairs).otherwise(float("nan")).alias("mean_distance"))

@@ -5,7 +5,8 @@ are made per key and salt and then merged by key, so the largest group that any
 task sees is a salt's, whatever the key's share. The salt is a hash of the
 columns that tell records apart, which is as even as a random one, gives the
 same result when a lost task runs again, and keeps repeats of one record under
-one salt, so that distinct counts merge by adding.
+one salt, so that distinct counts merge by adding. (Records that agree in all
+these columns share a salt, but the map side makes one row of them.)
 
 Defined results: a null key is a key of its own; nulls in a summed column add
 nothing (a group of nulls only sums to null); an empty table gives no rows;
@@ -19,12 +20,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import cut
+
 SALT, COUNT = "__salt", "__count"
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], heavy_share: float) -> DataFrame:
     """Keys with at least that share of the rows: at most ``1 / heavy_share`` of them, so fit for a broadcast."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT))
+    counts = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)))  # one row per key
     total = counts.agg(F.sum(COUNT).alias("__total"))
     return counts.crossJoin(F.broadcast(total)).where(F.col(COUNT) >= heavy_share * F.col("__total")).select(*keys)
 
@@ -65,7 +68,8 @@ def salted_aggregate(
 
 def heavy_hitters(df: DataFrame, key: str, identity: Sequence[str], share: float, **how: float) -> DataFrame:
     """Keys other than null that hold at least *share* of all rows (null keys count among all)."""
-    counts = salted_aggregate(df, [key], {}, identity, **how)
+    # one row per key, read for the total and again for the keys
+    counts = cut(salted_aggregate(df, [key], {}, identity, **how))
     total = counts.agg(F.sum("n_rows").alias("__total"))
     kept = counts.where(F.col(key).isNotNull()).crossJoin(F.broadcast(total))
     return kept.where(F.col("n_rows") >= F.lit(share) * F.col("__total")).select(key, "n_rows")

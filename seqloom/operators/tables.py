@@ -6,7 +6,7 @@ nothing; repeated keys of a lookup table count once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,9 +50,9 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
 
 def long_coverage(coverage: DataFrame) -> DataFrame:
-    """``contig, contig_len, sample_name, mean, var``: the delivered rows with a name and a mean, the last received of each contig and sample."""
+    """``contig, contig_len, sample_name, mean, var``: the delivered rows with a name and a mean, the last received of each contig and sample. A NaN variance is null."""
     named = coverage.select(
-        first_token(F.col("contig")).alias("contig"), "contig_len", "sample_name", F.col("mean_depth").alias("mean"), F.col("var_depth").alias("var"), "received_at", "cov_id"
+        first_token(F.col("contig")).alias("contig"), "contig_len", "sample_name", F.col("mean_depth").alias("mean"), F.when(~F.isnan("var_depth"), F.col("var_depth")).alias("var"), "received_at", "cov_id"
     )
     kept = named.where("contig <> '' and sample_name is not null and mean is not null and not isnan(mean)")
     return latest(kept, ["contig", "sample_name"], ["received_at", "cov_id"]).select("contig", "contig_len", "sample_name", "mean", "var")
@@ -86,8 +86,18 @@ def missing_samples(manifest: DataFrame, done: DataFrame) -> DataFrame:
     return manifest.join(have, sample_name(F.col("sample_name")) == F.col("__s"), "left_anti")
 
 
-def of_kinds(manifest: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    return manifest.where(F.col("kind").isin(list(kinds)))
+def of_kinds(manifest: DataFrame, kinds: Sequence[str], names: DataFrame | None = None) -> DataFrame:
+    """The manifest's samples of these kinds, and of these normalised ``sample_name`` if given."""
+    rows = manifest.where(F.col("kind").isin(list(kinds)))
+    if names is None:
+        return rows
+    wanted = names.select(sample_name(F.col("sample_name")).alias("__s")).where("__s is not null").distinct()
+    return rows.join(wanted, sample_name(F.col("sample_name")) == F.col("__s"), "left_semi")
+
+
+def complete(manifest: DataFrame, done: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """*done* (``contig, contig_len, sample_name, mean, var``) with the coverage that *compute* gives of the manifest's samples it lacks."""
+    return merge([done, compute(missing_samples(manifest, done)).select(*done.columns)])
 
 
 def feature_join(stats: DataFrame, tnf: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -95,12 +105,17 @@ def feature_join(stats: DataFrame, tnf: DataFrame, sketch: DataFrame) -> DataFra
     return stats.join(tnf, "contig").join(sketch, "contig")
 
 
-def row_index(df: DataFrame, order: Sequence[str], out: str = "row_index", parts: int = 0) -> DataFrame:
-    """0, 1, 2, ... in the order of *order*: ranges of rows are counted, and each row adds its place in its range."""
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, parts: int = 0) -> DataFrame:
+    """0, 1, 2, ... per key in the order of *order*, whatever the size of a key: ranges of rows are counted, and each row adds its place in its range."""
     parts = parts or max(1, df.sparkSession.sparkContext.defaultParallelism)
     spread = cut(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
     # ranges are in order and rows within one are ordered by the running sum
-    return running_sum(spread, [], F.col("__range"), list(order), F.lit(1).cast("long"), out).drop("__range")
+    return running_sum(spread, list(keys), F.col("__range"), list(order), F.lit(1).cast("long"), out).drop("__range")
+
+
+def row_index(df: DataFrame, order: Sequence[str], out: str = "row_index", parts: int = 0) -> DataFrame:
+    """0, 1, 2, ... in the order of *order*."""
+    return numbered(df, [], order, out, parts)
 
 
 def rank_in(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:

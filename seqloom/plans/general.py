@@ -25,7 +25,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
     """The valid lines as coverage rows per contig and sample."""
-    return R.coverage_rows(_parsed(spark, d))
+    lines, files = read(spark, d, "coverage_lines"), read(spark, d, "coverage_files")
+    return R.coverage_rows(R.parse_lines(lines, files), R.parse_lines(lines.where("line_no = 1"), files))
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +133,7 @@ ORACLE: dict[str, str] = {
     "p1_coverage": f"""with {_LINES},
       heads as (select file_id, h from judged where line_no = 1 and reason is null),
       body as (select *, unnest(range(1, (len(v) - 3) // 2 + 1)) as k from judged where line_no <> 1 and reason is null)
-      select b.line_id, b.file_id, b.v[1] as contig, cast(b.v[2] as bigint) as contig_len, cast(b.v[3] as double) as avg_depth,
+      select b.line_id, b.file_id, b.v[1] as contig, case when len(b.v[2]) < 19 then cast(b.v[2] as bigint) end as contig_len, case when len(b.v[2]) >= 19 then b.v[2] end as long_len, cast(b.v[3] as double) as avg_depth,
         cast(k as int) as sample_no, heads.h[2 + 2 * k] as sample_name,
         cast(b.v[2 + 2 * k] as double) as mean_depth, cast(b.v[3 + 2 * k] as double) as var_depth
       from body b left join heads using (file_id)""",

@@ -50,10 +50,14 @@ def coverage_vectors(long: DataFrame, samples: Sequence[str]) -> DataFrame:
     return wide.select("contig", F.array(*(clean(f"`{i}_{v}`") for i in range(len(samples)) for v in ("mean", "var"))).alias("cov"))
 
 
-def features(contigs: DataFrame, coverage: DataFrame, samples: Sequence[str], options: Options = Options()) -> DataFrame:
-    """``id, contig_len, cov, tnf, hashes`` of the contigs that are long enough and measured."""
+def features(contigs: DataFrame, coverage: DataFrame, samples: Sequence[str], options: Options = Options(), kmers: DataFrame | None = None) -> DataFrame:
+    """``id, contig_len, cov, tnf, hashes`` of the contigs that are long enough and measured. *kmers* (``contig, freqs``) are taken in place of counting."""
     kept, _ = T.by_length(contigs, "contig_len", options.min_contig_size)
-    tnf = S.kmer_table(kept, "contig_idx", "seq").select("contig_idx", S.log_ratio(S.frequencies(F.col("counts")), options.pseudo_count).alias("tnf"))
+    if kmers is None:
+        freqs = S.kmer_table(kept, "contig_idx", "seq").select("contig_idx", S.frequencies(F.col("counts")).alias("freqs"))
+    else:
+        freqs = kept.select("contig_idx", "contig").join(kmers, "contig").select("contig_idx", "freqs")
+    tnf = freqs.select("contig_idx", S.log_ratio(F.col("freqs"), options.pseudo_count).alias("tnf"))
     sketch = S.scaled_sketch(kept, "contig_idx", "seq", options.sketch_k, options.sketch_scale).select("contig_idx", "hashes")
     joined = kept.select("contig_idx", "contig", "contig_len").join(coverage_vectors(coverage, samples), "contig").join(tnf, "contig_idx").join(sketch, "contig_idx")
     return cut(joined.select(F.col("contig_idx").alias("id"), "contig_len", "cov", "tnf", "hashes"))
@@ -91,7 +95,7 @@ def cluster_each(points: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def _cluster_once(rows: DataFrame, n_samples: int, options: Options, cluster: Cluster | None) -> DataFrame:
+def _cluster_once(rows: DataFrame, n_samples: int, options: Options, cluster: Cluster | None, layouts: list[DataFrame]) -> DataFrame:
     """``id, label`` of one pass: graph, pre-filter, embedding, clusters; removed contigs are outliers."""
     n = rows.count()
     if n < 3:
@@ -107,26 +111,63 @@ def _cluster_once(rows: DataFrame, n_samples: int, options: Options, cluster: Cl
     def denser(more: int) -> DataFrame:
         return edges if more == k else build(nodes, more - k)
 
-    placed = cut(embedding.embed_with_retry(denser, k, dims))
+    placed = embedding.embed_with_retry(denser, k, dims)
+    layouts.append(placed)
     found = cluster(placed) if cluster else cluster_each(placed.withColumn("one", F.lit("")), "one").select("id", "label")
     return found.unionByName(gone.select(F.col("src").alias("id"), F.lit(None).cast("int").alias("label")))
 
 
-def cluster_contigs(rows: DataFrame, n_samples: int, options: Options = Options(), cluster: Cluster | None = None) -> DataFrame:
-    """``contig_idx, label`` of all *rows*; outliers are clustered once more among themselves and added behind."""
-    first = cut(_cluster_once(rows, n_samples, options, cluster))
+def cluster_contigs(rows: DataFrame, n_samples: int, options: Options = Options(), cluster: Cluster | None = None, layouts: list[DataFrame] | None = None) -> DataFrame:
+    """``contig_idx, label`` of all *rows*; outliers are clustered once more among themselves and added behind. The layouts of both rounds are added to *layouts*."""
+    layouts = [] if layouts is None else layouts
+    first = cut(_cluster_once(rows, n_samples, options, cluster, layouts))
     outliers = cut(rows.join(first.where("label is null").select("id"), "id", "left_semi"))
     if outliers.count() < 3:
         return first.withColumnRenamed("id", "contig_idx")
-    again = cut(_cluster_once(outliers, n_samples, options, cluster))
+    again = cut(_cluster_once(outliers, n_samples, options, cluster, layouts))
     renamed = lambda t: t.withColumnRenamed("id", "contig_idx").select("label", "contig_idx")
     return A.merge_clusterings(renamed(first), renamed(again)).select("contig_idx", "label")
 
 
-def recover(contigs: DataFrame, coverage: DataFrame, samples: Sequence[str], options: Options = Options(), cluster: Cluster | None = None, to_refine: bool = False) -> DataFrame:
-    """``bin, contig_idx, contig, seq`` of every contig (``contig_idx, contig, seq, contig_len``)."""
-    rows = features(contigs, coverage, samples, options)
-    labels = cluster_contigs(rows, len(samples), options, cluster)
+def bin_metrics(members: DataFrame, rows: DataFrame, n_samples: int, points: DataFrame | None = None) -> DataFrame:
+    """``label, n_contigs, bin_size, cov_dist, tnf_dist, sketch_dist, embed_dist`` of the clusters of *members* (``label, contig_idx``).
+
+    The mean distances over the pairs of a cluster by coverage, k-mer profile, sketch
+    and place (*points*: ``id, vec``; null without), NaN for a single contig. *rows*
+    are the features.
+    """
+    own = members.where("label is not null").select("label", F.col("contig_idx").alias("id"))
+    held = cut(rows.join(own, "id").repartition("label", F.pmod(F.xxhash64("id"), F.lit(8))))
+    out = held.groupBy("label").agg(F.count(F.lit(1)).alias("n_contigs"), F.sum("contig_len").alias("bin_size"))
+
+    def mean(table: DataFrame, vec: str, kernel: B.Kernel, dims: int, name: str) -> DataFrame:
+        blocks = cut(B.pack(table, "id", vec, dims, label="label", by_label=True))
+        return B.within_means(blocks, kernel, dims).select("label", F.col("mean_distance").alias(name))
+
+    parts = [mean(held, "cov", B.coverage, 2 * n_samples, "cov_dist"), mean(held, "tnf", B.proportional, 136, "tnf_dist")]
+    parts.append(sketched.within_means(held).select("label", F.col("mean_distance").alias("sketch_dist")))
+    if points is not None:
+        dims = A.embedding_dims(2 * n_samples)
+        parts.append(mean(points.join(own, "id").repartition("label", F.pmod(F.xxhash64("id"), F.lit(8))), "vec", B.euclid, dims, "embed_dist"))
+    for p in parts:
+        out = out.join(p, "label", "left")
+    return out if points is not None else out.withColumn("embed_dist", F.lit(None).cast("double"))
+
+
+def recover(contigs: DataFrame, coverage: DataFrame, samples: Sequence[str], options: Options = Options(), cluster: Cluster | None = None, to_refine: bool = False, metrics_to: Callable[[DataFrame], None] | None = None, kmers: DataFrame | None = None) -> DataFrame:
+    """``bin, contig_idx, contig, seq`` of every contig (``contig_idx, contig, seq, contig_len``).
+
+    *metrics_to* is given the clusters' metrics; an embedding distance is that of the
+    first layout, or of the second for contigs that were clustered there.
+    """
+    rows = features(contigs, coverage, samples, options, kmers)
+    layouts: list[DataFrame] = []
+    labels = cut(cluster_contigs(rows, len(samples), options, cluster, layouts))
+    if metrics_to:
+        points = layouts[-1].join(rows.select("id"), "id", "left_semi") if layouts else None
+        for earlier in layouts[-2::-1]:
+            points = points.unionByName(earlier.join(points.select("id"), "id", "left_anti"))
+        metrics_to(bin_metrics(labels, rows, len(samples), points))
     sized = labels.join(contigs.select("contig_idx", "contig_len"), "contig_idx")
     kept = A.gate_by_size(sized, ("label",), options.min_bin_size).select("contig_idx", F.col("kept_label").alias("label"))
     named = A.bin_names(contigs.select("contig_idx", "contig_len").join(kept, "contig_idx", "left"), options.min_contig_size, options.refining_bin_size if to_refine else options.min_bin_size)

@@ -103,17 +103,30 @@ def row_stats(spark: SparkSession, d: str) -> DataFrame:
     return _whole(spark, d).select("tnf_id", F.round(total, 6).alias("total"), F.round(total / 136, 9).alias("mean"))
 
 
-@query()
+_MIX_1 = f"(({{0}}::uhugeint * {S.MIX_A}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+_MIX_2 = f"((xor({{0}}, {{0}} >> 32)::uhugeint * {S.MIX_B}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+
+
+@query(rf"""with {_SEQ}, w as (select doc_id, substr(seq, i, 31) as w from (select doc_id, seq, unnest(range(1, length(seq) - 29)) as i from s)),
+  d as (select doc_id, list_transform(string_split(w, ''), lambda x: instr('ACGT', x) - 1) as d from w),
+  p as (select doc_id, list_sum(list_transform(range(1, 32), lambda i: d[i]::hugeint * (1::hugeint << (62 - 2 * i)::integer)))::ubigint as f,
+    list_sum(list_transform(range(1, 32), lambda i: (3 - d[i])::hugeint * (1::hugeint << (2 * i - 2)::integer)))::ubigint as r from d),
+  a as (select doc_id, {_MIX_1.format("least(f, r)")} as h from p), b as (select doc_id, {_MIX_2.format("h")} as h from a), c as (select doc_id, xor(h, h >> 29) as h from b),
+  k as (select doc_id, count(*) as n_kmers, count(distinct h) filter (h >> 1 < {int(0.1 * float(1 << 63))}) as n_hashes, min(h >> 1)::bigint as least_hash from c group by 1)
+  select doc_id, cast(length(seq) as int) as seq_length, coalesce(n_kmers, 0) as n_kmers, cast(coalesce(n_hashes, 0) as int) as n_hashes,
+    case when least_hash < {int(0.1 * float(1 << 63))} then least_hash end as least_hash from s left join k using (doc_id) where seq is not null""")
 def doc_sketch(spark: SparkSession, d: str) -> DataFrame:
-    """Scaled sketches of the documents' 31-mers; the hash family has no SQL twin."""
-    return S.scaled_sketch(_contigs(spark, d), "doc_id", "seq").select("doc_id", "seq_length", "n_kmers", F.size("hashes").alias("n_hashes"))
+    """Scaled sketches of the documents' 31-mers: their sizes, and the least hash without its last bit."""
+    least = F.array_min(F.transform("hashes", lambda h: F.shiftrightunsigned(h, 1)))
+    rows = S.scaled_sketch(_contigs(spark, d).where("seq is not null"), "doc_id", "seq")
+    return rows.select("doc_id", "seq_length", "n_kmers", F.size("hashes").alias("n_hashes"), least.alias("least_hash"))
 
 
 # --- coverage tables ---
 
 _LONG = r"""l as (
   select contig, contig_len, sample_name, mean, var from (
-    select regexp_extract(contig, '(\S+)', 1) as contig, contig_len, sample_name, mean_depth as mean, var_depth as var,
+    select regexp_extract(contig, '(\S+)', 1) as contig, contig_len, sample_name, mean_depth as mean, case when isnan(var_depth) then null else var_depth end as var,
       row_number() over (partition by regexp_extract(contig, '(\S+)', 1), sample_name order by received_at desc nulls last, cov_id desc) as n
     from coverage where mean_depth is not null and not isnan(mean_depth) and sample_name is not null and regexp_extract(contig, '(\S+)', 1) <> '')
   where n = 1)"""
@@ -200,16 +213,9 @@ def names_for_index(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("contig_idx", T.first_token(F.col("contig")).alias("name")).distinct()
 
 
-@query("select sample_name from samples where sample_name not in (select sample_name from coverage where measured_at < timestamp '2023-11-05' and sample_name is not null)")
-def missing_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Samples of the manifest without coverage up to a date, which in the test tables lies before all rows; ``missing_samples_whole`` takes all."""
-    done = read(spark, d, "coverage").where("measured_at < timestamp_ntz '2023-11-05 00:00:00'")
-    return T.missing_samples(read(spark, d, "samples"), done).select("sample_name")
-
-
 @query(r"""with h as (select distinct regexp_extract(replace(regexp_extract(sample_name, '([^/]*)$', 1), '.bam', ''), '(\S+)', 1) as s from coverage where sample_name is not null)
   select sample_name from samples where sample_name is null or regexp_extract(replace(regexp_extract(sample_name, '([^/]*)$', 1), '.bam', ''), '(\S+)', 1) not in (select s from h)""")
-def missing_samples_whole(spark: SparkSession, d: str) -> DataFrame:
+def missing_samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples of the manifest without any coverage row."""
     return T.missing_samples(read(spark, d, "samples"), read(spark, d, "coverage")).select("sample_name")
 
@@ -219,6 +225,14 @@ def samples_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return T.of_kinds(read(spark, d, "samples"), ["paired", "coupled"]).select("sample_name", "kind", "path1", "path2")
 
 
+@query(r"""with h as (select distinct regexp_extract(replace(regexp_extract(sample_name, '([^/]*)$', 1), '.bam', ''), '(\S+)', 1) as s from coverage where sample_name is not null)
+  select sample_name, kind from samples where kind in ('paired', 'short_bam', 'long_bam')
+    and regexp_extract(replace(regexp_extract(sample_name, '([^/]*)$', 1), '.bam', ''), '(\S+)', 1) in (select s from h)""")
+def samples_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of some kinds that have coverage."""
+    return T.of_kinds(read(spark, d, "samples"), ["paired", "short_bam", "long_bam"], read(spark, d, "coverage")).select("sample_name", "kind")
+
+
 @query("select kind, count(*) as n_samples, count(path2) as n_second from samples group by 1")
 def n_samples(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "samples").groupBy("kind").agg(F.count(F.lit(1)).alias("n_samples"), F.count("path2").alias("n_second"))
@@ -328,29 +342,12 @@ def append_clusters(spark: SparkSession, d: str) -> DataFrame:
     return A.append_clusters(*_runs(spark, d))
 
 
-@query(f"""with {_LAST}, k as (select label, contig_idx, case when label % 7 = 0 then null else label % 5 end as s from m where run_id = 1 and label is not null),
-  g as (select *, case when s is null then 1 else 0 end as alone, coalesce(s, label) as key from k),
-  o as (select alone, key, cast(row_number() over (order by alone, min(label)) - 1 as int) as merged_label from g group by 1, 2)
-  select o.merged_label, g.contig_idx from g join o using (alone, key)""")
-def super_merge(spark: SparkSession, d: str) -> DataFrame:
-    members = _runs(spark, d)[0]
-    supers = members.where("label is not null and label % 7 <> 0").select("label", (F.col("label") % 5).alias("super_label")).distinct()
-    return A.merge_by_super_clusters(members, supers)
-
-
-@query(f"""with {_SIZES} select contig_idx, m.label, case when m.label is null then case when contig_len >= 10000 then 'single' else 'outlier' end
-  when bin_size >= 1000000 then 'large' else 'cluster' end as part from m left join z using (run_id, label) where run_id = 1""")
-def split_large(spark: SparkSession, d: str) -> DataFrame:
-    members = _members(spark, d).where("run_id = 1")
-    return A.split_by_size(members, 1_000_000, 10_000).select("contig_idx", "label", "part")
-
-
 @query(f"""with {_LAST}, k as (select run_id, label, contig_idx, case when label % 7 = 0 then null else label % 5 end as s from m where label is not null),
   g as (select *, case when s is null then 1 else 0 end as alone, coalesce(s, label) as key from k),
   o as (select run_id, alone, key, cast(row_number() over (partition by run_id order by alone, min(label)) - 1 as int) as merged_label from g group by 1, 2, 3)
   select run_id, o.merged_label, g.contig_idx from g join o using (run_id, alone, key)""")
-def super_merge_runs(spark: SparkSession, d: str) -> DataFrame:
-    """``super_merge`` of every run."""
+def super_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of every run united by a super-cluster of their labels."""
     members = _members(spark, d).select("run_id", "label", "contig_idx")
     supers = members.where("label is not null and label % 7 <> 0").select("run_id", "label", (F.col("label") % 5).alias("super_label")).distinct()
     return A.merge_by_super_clusters(members, supers, ("run_id",))
@@ -358,8 +355,7 @@ def super_merge_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_SIZES} select run_id, contig_idx, m.label, case when m.label is null then case when contig_len >= 10000 then 'single' else 'outlier' end
   when bin_size >= 1000000 then 'large' else 'cluster' end as part from m left join z using (run_id, label)""")
-def split_large_runs(spark: SparkSession, d: str) -> DataFrame:
-    """``split_large`` of every run."""
+def split_large(spark: SparkSession, d: str) -> DataFrame:
     return A.split_by_size(_members(spark, d), 1_000_000, 10_000, keys=("run_id", "label")).select("run_id", "contig_idx", "label", "part")
 
 
@@ -389,6 +385,12 @@ def assembly_assignments(spark: SparkSession, d: str) -> DataFrame:
     return _register(spark, d).select("contig_idx", "contig").join(_members(spark, d).select("run_id", "contig_idx", "label"), "contig_idx").select("run_id", "contig_idx", "contig", "label")
 
 
+@query(f"with {_LAST}, {_REGISTER} select distinct m.run_id, m.label, c.contig from m join c using (contig_idx) where m.label is not null and c.contig is not null")
+def bin_contig_names(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct names of every bin's contigs."""
+    return A.bin_names_of(_members(spark, d), _register(spark, d).select("contig_idx", "contig"))
+
+
 @query(f"""with {_LAST}, {_REGISTER}, {_LONG}, a as (select contig, avg(mean) as depth from l group by 1)
   select m.run_id, m.label, count(*) as n_measured, round(avg(a.depth), 11) as depth from m join c using (contig_idx) join a using (contig) where m.label is not null group by 1, 2""")
 def bin_depths(spark: SparkSession, d: str) -> DataFrame:
@@ -398,23 +400,13 @@ def bin_depths(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n_measured"), F.round(F.avg("avg_depth"), 11).alias("depth"))
 
 
-@query(f"""with {_LAST}, {_REGISTER}, x as (
-    select c.contig_idx, coalesce(c.contig_len, 0) as len, m.label from c left join (select * from m where run_id = 1) m using (contig_idx)),
-  k as (select *, case when len < {LEAST_CONTIG} and len < 30000 then 'small_unbinned' when len >= {LEAST_CONTIG} and label is not null then cast(label as varchar) when len >= 30000 then 'single' else 'unbinned' end as kind from x),
-  n as (select contig_idx, row_number() over (order by contig_idx) as n from k where kind = 'single')
-  select contig_idx, 'bin_' || case when kind = 'single' then 'single_contig_' || n else kind end as bin from k left join n using (contig_idx)""")
-def bin_naming(spark: SparkSession, d: str) -> DataFrame:
-    labels = _members(spark, d).where("run_id = 1").select("contig_idx", "label")
-    return A.bin_names(_register(spark, d).join(labels, "contig_idx", "left"), LEAST_CONTIG, 30_000)
-
-
 @query(f"""with {_LAST}, {_REGISTER}, x as (
     select r.run_id, c.contig_idx, coalesce(c.contig_len, 0) as len, m.label from c cross join (select distinct run_id from m) r left join m on m.run_id = r.run_id and m.contig_idx = c.contig_idx),
   k as (select *, case when len < {LEAST_CONTIG} and len < 30000 then 'small_unbinned' when len >= {LEAST_CONTIG} and label is not null then cast(label as varchar) when len >= 30000 then 'single' else 'unbinned' end as kind from x),
   n as (select run_id, contig_idx, row_number() over (partition by run_id order by contig_idx) as n from k where kind = 'single')
   select run_id, contig_idx, 'bin_' || case when kind = 'single' then 'single_contig_' || n else kind end as bin from k left join n using (run_id, contig_idx)""")
-def bin_naming_runs(spark: SparkSession, d: str) -> DataFrame:
-    """``bin_naming`` of every run, each with all contigs of the register."""
+def bin_naming(spark: SparkSession, d: str) -> DataFrame:
+    """Bin names of every run, each with all contigs of the register."""
     labels = _members(spark, d).select("run_id", "contig_idx", "label")
     every = _register(spark, d).crossJoin(labels.select("run_id").distinct())
     return A.bin_names(every.join(labels, ["run_id", "contig_idx"], "left"), LEAST_CONTIG, 30_000, keys=("run_id",))
@@ -425,19 +417,9 @@ def contig_index(spark: SparkSession, d: str) -> DataFrame:
     return T.row_index(read(spark, d, "contigs").select("contig_idx", "added_at", "contig"), ["added_at", "contig_idx", "contig"]).select("contig_idx", "row_index")
 
 
-@query(f"""with {_LAST}, r as (select label as bin, contig_idx, contig_len, contig_idx % 3 as sub from m where run_id = 1 and label >= 100),
-  o as (select bin, count(*) as n from r group by 1), g as (select bin, count(distinct sub) as k, count(*) as b from r group by 1)
-  select o.bin, not (g.k = 1 and g.b = o.n) as changed from o join g using (bin)""")
-def refine_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Which bins a split by index modulo three would change, of run 1 and labels from 100 only; ``refine_decision_runs`` takes all."""
-    bins = _members(spark, d).where("run_id = 1 and label >= 100").select(F.col("label").alias("bin"), "contig_idx", "contig_len")
-    back = bins.withColumn("label", (F.col("contig_idx") % 3).cast("int"))
-    return A.refine_decision(back, bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n_contigs")), LEAST_BIN)
-
-
 @query(f"""with {_LAST}, g as (select run_id, label, count(distinct contig_idx % 3) as k from m where label is not null group by 1, 2)
   select run_id, label, k > 1 as changed from g""")
-def refine_decision_runs(spark: SparkSession, d: str) -> DataFrame:
+def refine_decision(spark: SparkSession, d: str) -> DataFrame:
     """Which bins of all runs a split by index modulo three would change."""
     bins = _members(spark, d).where("label is not null").select("run_id", F.col("label").alias("bin"), "contig_idx", "contig_len")
     back = bins.withColumn("label", (F.col("contig_idx") % 3).cast("int"))

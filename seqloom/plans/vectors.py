@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from seqloom.functions import distances as D
 from seqloom.operators import assignments as A
 from seqloom.operators import blocks as B
-from seqloom.operators import embedding, graphs, hdbscan
+from seqloom.operators import embedding, graphs, hdbscan, sketched
 from seqloom.operators import tables as T
+from seqloom.plans.recover import coverage_vectors
 from seqloom.plans.relational import _EVENTS, _LAST, _LONG, _REGISTER, EVENTS, _events, _long, _members, _register, _whole
 from seqloom.session import cut, read
 
@@ -110,10 +111,14 @@ def tnf_distance_search(spark: SparkSession, d: str) -> DataFrame:
     return B.search(_packed(rows.where("id % 20 = 0"), TNF, B.QUERY_BLOCK), _packed(rows, TNF), B.proportional, NEAREST, TNF, DIGITS)
 
 
-def _depth_search(spark: SparkSession, d: str, kernel: B.Kernel) -> DataFrame:
+def _event_depths(spark: SparkSession, d: str) -> DataFrame:
     wide = T.wide_coverage(_events(spark, d), EVENTS)
     zero = F.lit(0.0)
-    rows = cut(wide.select(F.col("contig").alias("id"), F.array(*(F.coalesce(f"{s}_{v}", zero) for s in EVENTS for v in ("mean", "var"))).alias("vec")))
+    return cut(wide.select(F.col("contig").alias("id"), F.array(*(F.coalesce(f"{s}_{v}", zero) for s in EVENTS for v in ("mean", "var"))).alias("vec")))
+
+
+def _depth_search(spark: SparkSession, d: str, kernel: B.Kernel) -> DataFrame:
+    rows = _event_depths(spark, d)
     dims = 2 * len(EVENTS)
     return B.search(_packed(rows.where("id % 20 = 0"), dims, B.QUERY_BLOCK), _packed(rows, dims), kernel, NEAREST, dims, DIGITS)
 
@@ -137,26 +142,18 @@ def depth_distance_strict(spark: SparkSession, d: str) -> DataFrame:
     return _depth_search(spark, d, B.coverage_strict)
 
 
-def _hub_pairs(members: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame:
-    """Each bin's contigs with its smallest one: as many pairs as contigs."""
-    hubs = members.groupBy(*keys).agg(F.min("contig_idx").alias("hub"))
-    return members.join(hubs, list(keys)).where("hub <> contig_idx").select(*keys, "hub", "contig_idx")
+def _hub_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each bin's contigs, in every run, with its smallest one: as many pairs as contigs."""
+    members = _members(spark, d).where("label is not null")
+    hubs = members.groupBy("run_id", "label").agg(F.min("contig_idx").alias("hub"))
+    return members.join(hubs, ["run_id", "label"]).where("hub <> contig_idx").select("run_id", "hub", "contig_idx")
 
 
-_HUBS = """h as (select label, min(contig_idx) as hub from m where run_id = 1 and label is not null group by 1),
-  q as (select m.label, h.hub, m.contig_idx from m join h using (label) where run_id = 1 and h.hub <> m.contig_idx)"""
 _BIN_PAIRS = """select q.contig_idx as a, q.hub as b, coalesce(x.mean, 0.0) as ma, case when isnan(coalesce(x.var, 0.0)) then 0.0 else coalesce(x.var, 0.0) end as va,
     y.mean as mb, case when isnan(coalesce(y.var, 0.0)) then 0.0 else coalesce(y.var, 0.0) end as vb
   from q join n y on y.contig_idx = q.hub left join n x on x.contig_idx = q.contig_idx and x.sample_name = y.sample_name"""
 
 
-@query(f"""with {_LAST}, {_REGISTER}, {_LONG}, {_HUBS}, n as (select c.contig_idx, l.sample_name, l.mean, l.var from l join c using (contig)),
-  {_area(_BIN_PAIRS, False)} select a as contig_idx, b as hub, round(distance, {DIGITS}) as distance from dist""")
-def depth_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each contig against its bin's smallest, over the samples of the latter: joins, one expression and a mean."""
-    return _hub_depths(spark, d, _hub_pairs(_members(spark, d).where("run_id = 1 and label is not null")), [])
-
-
 def _hub_depths(spark: SparkSession, d: str, pairs: DataFrame, keys: list[str]) -> DataFrame:
     # a contig of several names keeps all their rows
     named = _long(spark, d).join(_register(spark, d).select("contig_idx", "contig"), "contig")
@@ -168,25 +165,15 @@ def _hub_depths(spark: SparkSession, d: str, pairs: DataFrame, keys: list[str])
     return areas.groupBy(*keys, "contig_idx", "hub").agg(F.round(D.coverage_distance(F.col("area")), DIGITS).alias("distance"))
 
 
-_HUBS_RUNS = """h as (select run_id, label, min(contig_idx) as hub from m where label is not null group by 1, 2),
+_HUBS = """h as (select run_id, label, min(contig_idx) as hub from m where label is not null group by 1, 2),
   e as (select m.run_id, h.hub, m.contig_idx from m join h using (run_id, label) where h.hub <> m.contig_idx), q as (select distinct hub, contig_idx from e)"""
 
 
-def _hub_pairs_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _hub_pairs(_members(spark, d).where("label is not null"), ("run_id", "label"))
-
-
-@query(f"""with {_LAST}, {_REGISTER}, {_LONG}, {_HUBS_RUNS}, n as (select c.contig_idx, l.sample_name, l.mean, l.var from l join c using (contig)),
+@query(f"""with {_LAST}, {_REGISTER}, {_LONG}, {_HUBS}, n as (select c.contig_idx, l.sample_name, l.mean, l.var from l join c using (contig)),
   {_area(_BIN_PAIRS, False)} select e.run_id, e.contig_idx, e.hub, round(distance, {DIGITS}) as distance from dist join e on dist.a = e.contig_idx and dist.b = e.hub""")
-def depth_distance_pairs_runs(spark: SparkSession, d: str) -> DataFrame:
-    """``depth_distance_pairs`` of every run."""
-    return _hub_depths(spark, d, _hub_pairs_runs(spark, d), ["run_id"])
-
-
-@query(f"""with {_LAST}, {_HUBS}, {_TNF} select q.contig_idx, q.hub, round({_RHO.format(x="x.f", y="y.f")}, {DIGITS}) as tnf_distance,
-  round(list_distance(x.f, y.f), {DIGITS}) as euclidean from q join v x on x.id = q.contig_idx join v y on y.id = q.hub""")
-def tnf_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _hub_profiles(spark, d, _hub_pairs(_members(spark, d).where("run_id = 1 and label is not null")), [])
+def depth_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each contig against its bin's smallest, over the samples of the latter: joins, one expression and a mean."""
+    return _hub_depths(spark, d, _hub_pairs(spark, d), ["run_id"])
 
 
 def _hub_profiles(spark: SparkSession, d: str, pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -197,11 +184,10 @@ def _hub_profiles(spark: SparkSession, d: str, pairs: DataFrame, keys: list[str]
     return joined.select(*keys, "contig_idx", "hub", F.round(D.proportionality(F.col("x"), F.col("y")), DIGITS).alias("tnf_distance"), F.round(D.euclidean(F.col("x"), F.col("y")), DIGITS).alias("euclidean"))
 
 
-@query(f"""with {_LAST}, {_HUBS_RUNS}, {_TNF} select e.run_id, e.contig_idx, e.hub, round({_RHO.format(x="x.f", y="y.f")}, {DIGITS}) as tnf_distance,
+@query(f"""with {_LAST}, {_HUBS}, {_TNF} select e.run_id, e.contig_idx, e.hub, round({_RHO.format(x="x.f", y="y.f")}, {DIGITS}) as tnf_distance,
   round(list_distance(x.f, y.f), {DIGITS}) as euclidean from e join v x on x.id = e.contig_idx join v y on y.id = e.hub""")
-def tnf_distance_pairs_runs(spark: SparkSession, d: str) -> DataFrame:
-    """``tnf_distance_pairs`` of every run."""
-    return _hub_profiles(spark, d, _hub_pairs_runs(spark, d), ["run_id"])
+def tnf_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _hub_profiles(spark, d, _hub_pairs(spark, d), ["run_id"])
 
 
 _SKETCHES = r"""k as (select contig_idx, regexp_extract(any_value(contig), '([a-z]+[0-9]+)_', 1) as assembly, list_distinct(flatten(list(hashes))) as h from sketch where hashes is not null group by 1),
@@ -234,35 +220,93 @@ def bin_metrics_embedding(spark: SparkSession, d: str) -> DataFrame:
     return B.within_means(cut(blocks), B.euclid, DIMS).where("n > 1").select("label", F.round("mean_distance", DIGITS).alias("mean_distance"))
 
 
-@query(f"""with {_LAST}, {_TNF}, x as (select m.label, v.id, v.f from m join v on v.id = m.contig_idx where run_id = 1 and label is not null),
-  s as (select label, id, list_transform(f, lambda u: u - list_avg(f)) as c from x),
-  z as (select label, id, c, list_sum(list_transform(c, lambda u: u * u)) as q from s),
-  n as (select label, count(*) as n from z group by 1)
-  select n.label, n.n, w.mean_distance from n left join (
-    select a.label, round(avg(0.5 - list_dot_product(a.c, b.c) / (a.q + b.q)), {DIGITS}) as mean_distance from z a join z b on a.label = b.label and a.id < b.id group by 1) w using (label) where n.n > 1""")
-def bin_metrics_tnf(spark: SparkSession, d: str) -> DataFrame:
-    """Mean k-mer distance within every bin of the first run."""
-    members = _members(spark, d).where("run_id = 1 and label is not null").select(F.col("contig_idx").alias("id"), "label")
-    rows = cut(members.join(_profiles(spark, d), "id").repartition("label", F.pmod(F.xxhash64("id"), F.lit(8))))
-    blocks = cut(B.pack(rows, "id", "vec", TNF, label="label", by_label=True))
-    return B.within_means(blocks, B.proportional, TNF).where("n > 1").select("label", "n", F.round("mean_distance", DIGITS).alias("mean_distance"))
-
-
 @query(f"""with {_LAST}, {_TNF}, x as (select m.run_id, m.label, v.id, v.f from m join v on v.id = m.contig_idx where label is not null),
   s as (select run_id, label, id, list_transform(f, lambda u: u - list_avg(f)) as c from x),
   z as (select run_id, label, id, c, list_sum(list_transform(c, lambda u: u * u)) as q from s),
   n as (select run_id, label, count(*) as n from z group by 1, 2)
   select n.run_id, n.label, n.n, w.mean_distance from n left join (
-    select a.run_id, a.label, round(avg(0.5 - list_dot_product(a.c, b.c) / (a.q + b.q)), {DIGITS}) as mean_distance from z a join z b on a.run_id = b.run_id and a.label = b.label and a.id < b.id group by 1, 2) w using (run_id, label) where n.n > 1""")
-def bin_metrics_tnf_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Mean k-mer distance within every bin of every run."""
+    select a.run_id, a.label, round(avg(0.5 - list_dot_product(a.c, b.c) / (a.q + b.q)), {DIGITS}) as mean_distance from z a join z b on a.run_id = b.run_id and a.label = b.label and a.id < b.id group by 1, 2) w using (run_id, label)""")
+def bin_metrics_tnf(spark: SparkSession, d: str) -> DataFrame:
+    """Mean k-mer distance within every bin of every run; null for a single contig."""
+    bins, numbers = _numbered_bins(spark, d)
+    rows = cut(bins.join(_profiles(spark, d), "id").repartition("bin", F.pmod(F.xxhash64("id"), F.lit(8))))
+    blocks = cut(B.pack(rows, "id", "vec", TNF, label="bin", by_label=True))
+    return _of_bins(B.within_means(blocks, B.proportional, TNF), numbers)
+
+
+def _numbered_bins(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """``id, bin`` with one number for each run's label, and what the numbers stand for."""
     members = _members(spark, d).where("label is not null").select("run_id", "label", F.col("contig_idx").alias("id"))
     numbers = cut(A.offset_labels(members, "run_id", "label"))
-    numbered = members.join(numbers, ["run_id", "label"]).select("id", F.col("global_label").alias("bin"))
-    rows = cut(numbered.join(_profiles(spark, d), "id").repartition("bin", F.pmod(F.xxhash64("id"), F.lit(8))))
-    blocks = cut(B.pack(rows, "id", "vec", TNF, label="bin", by_label=True))
-    means = B.within_means(blocks, B.proportional, TNF).where("n > 1").withColumnRenamed("label", "global_label")
-    return means.join(numbers, "global_label").select("run_id", "label", "n", F.round("mean_distance", DIGITS).alias("mean_distance"))
+    return members.join(numbers, ["run_id", "label"]).select("id", F.col("global_label").alias("bin")), numbers
+
+
+def _of_bins(means: DataFrame, numbers: DataFrame) -> DataFrame:
+    told = means.select(F.col("label").alias("global_label"), "n", F.when(~F.isnan("mean_distance"), F.round("mean_distance", DIGITS)).alias("mean_distance"))
+    return told.join(numbers, "global_label").select("run_id", "label", "n", "mean_distance")
+
+
+_HASHES = "k as (select contig_idx as id, list_distinct(flatten(list(hashes))) as h from sketch where hashes is not null and contig_idx is not null group by 1)"
+_SKETCH_DISTANCE = "case when len({0}) = 0 and len({1}) = 0 then 0.0 when least(len({0}), len({1})) = 0 then 1.0 else 1 - len(list_intersect({0}, {1})) / least(len({0}), len({1})) end"
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "sketch").where("hashes is not null and contig_idx is not null")
+    return rows.groupBy(F.col("contig_idx").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"))
+
+
+@query(f"""with {_LAST}, {_HASHES}, x as (select m.run_id, m.label, k.id, k.h from m join k on k.id = m.contig_idx where label is not null),
+  n as (select run_id, label, count(*) as n from x group by 1, 2)
+  select n.run_id, n.label, n.n, w.mean_distance from n left join (
+    select a.run_id, a.label, round(avg({_SKETCH_DISTANCE.format("a.h", "b.h")}), {DIGITS}) as mean_distance from x a join x b on a.run_id = b.run_id and a.label = b.label and a.id < b.id group by 1, 2) w using (run_id, label)""")
+def bin_metrics_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Mean sketch distance within every bin of every run; null for a single contig."""
+    bins, numbers = _numbered_bins(spark, d)
+    rows = bins.join(_sets(spark, d), "id").select("id", F.col("bin").alias("label"), "hashes")
+    return _of_bins(sketched.within_means(rows), numbers)
+
+
+_SPANS = f"""g as (select c.contig, s.sample_name, coalesce(mean, 0) as mean, coalesce(var, 0) as var
+        from (select distinct contig from e) c cross join (select unnest({list(EVENTS)!r}) as sample_name) s left join e on e.contig = c.contig and e.sample_name = s.sample_name)"""
+_ALL_PAIRS = "select x.contig as a, y.contig as b, x.mean as ma, x.var as va, y.mean as mb, y.var as vb from g x join g y on x.sample_name = y.sample_name and {0}"
+
+
+@query(f"""with {_EVENTS}, {_SPANS}, {_area(_ALL_PAIRS.format("x.contig % 10 = y.contig % 10 and x.contig < y.contig"), False)}
+  select cast(a % 10 as int) as label, round(avg(distance), {DIGITS}) as mean_distance from dist group by 1""")
+def bin_metrics_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Mean coverage distance within bins: of the events' depths, in ten bins by index."""
+    rows = _event_depths(spark, d).withColumn("label", (F.col("id") % 10).cast("int"))
+    blocks = cut(B.pack(rows, "id", "vec", 2 * len(EVENTS), label="label", by_label=True))
+    return B.within_means(blocks, B.coverage, 2 * len(EVENTS)).select("label", F.round("mean_distance", DIGITS).alias("mean_distance"))
+
+
+@query(f"""with {_EVENTS}, {_SPANS}, {_area(_ALL_PAIRS.format("x.contig % 10 <> y.contig % 10"), False)}
+  select cast(a % 10 as int) as label, cast(b % 10 as int) as other_label, round(avg(distance), {DIGITS}) as mean_distance from dist group by 1, 2""")
+def linkage_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Average linkage of the same bins by coverage distance."""
+    rows = _event_depths(spark, d).withColumn("label", (F.col("id") % 10).cast("int"))
+    blocks = cut(B.pack(rows, "id", "vec", 2 * len(EVENTS), label="label"))
+    return B.linkage(B.label_sums(blocks, B.coverage, 2 * len(EVENTS))).withColumn("mean_distance", F.round("mean_distance", DIGITS))
+
+
+_SKETCHED = rf"""{_HASHES}, i as (select id, name from (select contig_idx as id, regexp_extract(contig, '(\S+)', 1) as name from sketch where contig is not null and contig_idx is not null) group by 1, 2),
+  u as (select i.id as contig, l.sample_name, l.mean, coalesce(l.var, 0.0) as var from l join i on i.name = l.contig),
+  g as (select k.id as contig, s.sample_name, coalesce(u.mean, 0) as mean, coalesce(u.var, 0) as var from k cross join (select distinct sample_name from l) s
+    left join u on u.contig = k.id and u.sample_name = s.sample_name where k.id in (select contig from u))"""
+
+
+@query(rf"""with {_LONG}, {_SKETCHED}, {_area(_ALL_PAIRS.format("x.contig <> y.contig"), False)},
+  p as (select a, b, round(distance * ({_SKETCH_DISTANCE.format("x.h", "y.h")}), {DIGITS}) as distance from dist join k x on x.id = a join k y on y.id = b),
+  r as (select *, row_number() over (partition by a order by distance, b) as n from p)
+  select a as src, b as dst, distance, cast(n as int) as rank from r where n <= {NEAREST}""")
+def depth_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Each sketched contig's nearest by coverage distance times sketch distance, of all sketched contigs."""
+    long = cut(_long(spark, d))
+    samples = sorted(r[0] for r in long.select("sample_name").distinct().collect())  # the samples of the manifest
+    names = read(spark, d, "sketch").where("contig_idx is not null").select(F.col("contig_idx").alias("id"), T.first_token(F.col("contig")).alias("contig")).distinct()
+    rows = names.join(coverage_vectors(long, samples), "contig").join(_sets(spark, d), "id")
+    found = sketched.search(rows.select("id", F.col("cov").alias("vec"), "hashes"), B.coverage, NEAREST, 2 * len(samples), DIGITS)
+    return found.select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), "distance", "rank")
 
 
 @query(f"with {_EMB} select a.label, b.label as other_label, round(avg(list_distance(a.f, b.f)), {DIGITS}) as mean_distance from v a join v b on a.label <> b.label group by 1, 2")
@@ -302,6 +346,7 @@ def silhouette_score(spark: SparkSession, d: str) -> DataFrame:
 
 _G = f"""{_EMB}, e0 as (select a.id as src, b.id as dst, round(list_distance(a.f, b.f), {DIGITS}) as distance from v a join v b on a.id <> b.id),
   e as (select *, cast(row_number() over (partition by src order by distance, dst) as int) as rank from e0 qualify rank <= 10)"""
+_G1 = _G.replace("rank <= 10", "rank <= 1")
 _G2 = f"""c as (select id, list_transform(f, lambda u: u - list_avg(f)) as c from v), q as (select id, c, list_sum(list_transform(c, lambda u: u * u)) as q from c),
   o0 as (select a.id as src, b.id as dst, round(0.5 - list_dot_product(a.c, b.c) / (a.q + b.q), {DIGITS}) as distance from q a join q b on a.id <> b.id),
   o as (select *, cast(row_number() over (partition by src order by distance, dst) as int) as rank from o0 qualify rank <= 10)"""
@@ -324,11 +369,11 @@ def graph_intersect(spark: SparkSession, d: str) -> DataFrame:
     return graphs.intersect(_graph(spark, d), _graph(spark, d, B.proportional), 2)
 
 
-@query(f"with {_G} select id as src from v where id not in (select src from e where exists (select 1 from e r where r.src = e.dst and r.dst = e.src))")
+@query(f"with {_G1} select id as src from v where id not in (select src from e where exists (select 1 from e r where r.src = e.dst and r.dst = e.src))")
 def disconnected(spark: SparkSession, d: str) -> DataFrame:
-    """Rows without any mutual neighbour."""
+    """Rows that are not the nearest of their nearest."""
     nodes = _embeddings(spark, d).select(F.col("id").alias("src"))
-    return graphs.disconnected(nodes, graphs.mutual(_graph(spark, d), 0))
+    return graphs.disconnected(nodes, graphs.mutual(_graph(spark, d, k=1), 0))
 
 
 @query()

@@ -1,7 +1,7 @@
 """FASTA and FASTQ files as DataFrames; lines end in LF or CRLF, gzip is read too.
 
-The kind is told by the first byte (``>`` or ``@``), not by the extension. An
-empty file gives no rows. ``contig_idx`` is the place of a record in the order
+The kind of each file is told by its first byte (``>`` or ``@``), not by its
+extension. An empty file gives no rows. ``contig_idx`` is the place of a record in the order
 of files and offsets, given once and carried on.
 """
 
@@ -29,10 +29,25 @@ def _text(spark: SparkSession, path: str | list[str], separator: str | None = No
     )
 
 
-def is_fastq(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether the first record's first byte says FASTQ."""
-    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-    return bool(first) and first[0]["value"].lstrip().startswith("@")
+def files_of(spark: SparkSession, path: str | list[str], glob: str | None = None) -> list[str]:
+    """The files of a path, folders with all that lies below them."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    return sorted((reader.option("pathGlobFilter", glob) if glob else reader).text(path).inputFiles())
+
+
+def is_fastq(spark: SparkSession, file: str) -> bool:
+    """Whether a file's first byte other than white space says FASTQ; only its beginning is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+    stream = where.getFileSystem(conf).open(where)
+    stream = codec.createInputStream(stream) if codec else stream
+    try:
+        while (byte := stream.read()) in (9, 10, 13, 32):
+            pass
+        return byte == ord("@")
+    finally:
+        stream.close()
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -57,17 +72,38 @@ def read_fastq(spark: SparkSession, path: str | list[str], glob: str | None = No
     return rows.where("head <> ''").select(*_PLACE, F.regexp_extract(head, r"^(\S*)", 1).alias("contig"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), normalised(F.col("seq")).alias("seq"))
 
 
+def read_records(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """``file, block, at, contig, description, seq`` of the records of all files, each read by its own kind."""
+    files: dict[bool, list[str]] = {False: [], True: []}
+    for file in files_of(spark, path, glob):
+        files[is_fastq(spark, file)].append(file)
+    # a path without files still gives a table, of no rows
+    parts = [read(spark, names) for read, names in ((read_fasta, files[False]), (read_fastq, files[True])) if names]
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else spark.createDataFrame([], "file string, block long, at long, contig string, description string, seq string")
+
+
 def read_contigs(spark: SparkSession, path: str | list[str], least_length: int = 0, glob: str | None = None) -> DataFrame:
     """``contig_idx, contig, seq, contig_len, file`` of an assembly in FASTA or FASTQ."""
-    rows = (read_fastq if is_fastq(spark, path) else read_fasta)(spark, path, glob)
-    indexed = row_index(rows, _PLACE, "contig_idx")
+    indexed = row_index(read_records(spark, path, glob), _PLACE, "contig_idx")
     sized = indexed.select("contig_idx", "contig", "seq", F.length("seq").cast("long").alias("contig_len"), "file")
     return sized.where(F.col("contig_len") >= least_length)
 
 
-def read_bins(spark: SparkSession, folder: str, extension: str = ".fna") -> DataFrame:
-    """``bin, contig, seq, contig_len`` of all files of that extension; a file is a bin."""
-    rows = read_fasta(spark, folder, f"*{extension}")
-    name = F.substring_index("file", "/", -1)
-    bin_ = F.substring(name, F.lit(1), F.length(name) - len(extension))
-    return rows.select(bin_.alias("bin"), "contig", "seq", F.length("seq").cast("long").alias("contig_len"))
+def read_bins(spark: SparkSession, path: str | list[str], extension: str = ".fna") -> DataFrame:
+    """``bin, contig, seq, contig_len`` of a folder, or of a list of files; an error if there is no bin.
+
+    A bin is a file of that extension, or a folder of that extension whose files are
+    its parts.
+    """
+    rows = read_records(spark, path, f"*{extension}" if isinstance(path, str) else None)
+    names = F.split("file", "/")
+    last, folder = F.element_at(names, -1), F.element_at(names, -2)
+    written = F.when(F.endswith(folder, F.lit(extension)), folder).otherwise(last)
+    # paths come with percent signs, and ``publish`` has its own for slashes and colons
+    name = F.url_decode(F.replace(written, F.lit("+"), F.lit("%2B")))
+    name = F.replace(F.replace(name, F.lit("%2F"), F.lit("/")), F.lit("%3A"), F.lit(":"))
+    cut_off = F.when(F.endswith(name, F.lit(extension)), F.substring(name, F.lit(1), F.length(name) - len(extension))).otherwise(name)
+    bins = rows.select(cut_off.alias("bin"), "contig", "seq", F.length("seq").cast("long").alias("contig_len"))
+    if bins.isEmpty():
+        raise ValueError(f"no bins ({extension}) in {path}")
+    return bins

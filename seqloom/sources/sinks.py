@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +40,17 @@ def guard(spark: SparkSession, path: str) -> None:
         raise FileExistsError(f"{path} already holds bins")
 
 
-def write_bins(members: DataFrame, path: str, files_per_bin: int = 8, refuse: bool = True) -> None:
-    """``bin, contig_idx, contig, seq`` as FASTA, one folder ``bin=<name>`` each.
+def write_bins(members: DataFrame, path: str, refuse: bool = True, part_bytes: int = 64 << 20) -> None:
+    """``bin, contig_idx, contig, seq`` as FASTA, one folder ``bin=<name>`` each, for ``publish``.
 
-    A bin's rows are spread over *files_per_bin* tasks, so no bin is one task's alone; each file is in the order of the index.
+    A bin is one file, or one for every *part_bytes* of sequence, so no bin is one task's alone; each file is in the order of the index.
     """
     if refuse:
         guard(members.sparkSession, path)
-    part = F.pmod(F.xxhash64("contig_idx"), F.lit(files_per_bin))
-    records = members.select("bin", "contig_idx", part.alias("part"), F.concat(F.lit(">"), "contig", F.lit("\n"), F.coalesce("seq", F.lit(""))).alias("value"))
+    length = F.coalesce(F.length("seq"), F.lit(0)).cast("long")
+    parts = members.groupBy("bin").agg(F.ceil(F.sum(length) / F.lit(part_bytes)).alias("parts"))
+    part = F.pmod(F.xxhash64("contig_idx"), F.greatest("parts", F.lit(1))).alias("part")
+    records = members.join(parts, "bin").select("bin", "contig_idx", part, F.concat(F.lit(">"), "contig", F.lit("\n"), F.coalesce("seq", F.lit(""))).alias("value"))
     ordered = records.repartition("bin", "part").sortWithinPartitions("bin", "contig_idx").select("bin", "value")
     ordered.write.mode("overwrite").partitionBy("bin").text(path)
 
@@ -58,24 +61,45 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.select(*columns).write.mode("overwrite").option("sep", "\t").option("header", False).csv(path)
 
 
-def publish(spark: SparkSession, staged: Sequence[str], target: str) -> None:
-    """Puts the bins of the staged folders into *target* in place of what is there; the old bins go only when the new ones are complete."""
+def _move(fs, source, target) -> None:  # noqa: ANN001
+    """A rename that raises where Hadoop only returns false."""
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def publish(spark: SparkSession, staged: Sequence[str], target: str, extension: str = ".fna") -> None:
+    """Puts the bins of the staged folders into *target* in place of what is there, as ``<bin>.fna``: a file, or a folder of part files for a bin of several.
+
+    The old bins go only when the new ones are complete; a move that fails raises
+    before anything is deleted. No bins at all are an error.
+    """
     fs, where = _fs(spark, target)
-    new, old = _fs(spark, f"{target}.new")[1], _fs(spark, f"{target}.old")[1]
+    path = lambda p: _fs(spark, p)[1]
+    new, old = f"{target}.new", f"{target}.old"
     for p in (new, old):
-        fs.delete(p, True)
-    fs.mkdirs(new)
-    for folder in staged:
-        there = _fs(spark, folder)[1]
-        if not fs.exists(there):
-            continue
-        for status in fs.listStatus(there):
-            if status.isDirectory():
-                name = status.getPath().getName()
-                fs.rename(status.getPath(), _fs(spark, f"{target}.new/{name}")[1])
-    if fs.exists(where):
-        fs.rename(where, old)
-    fs.rename(new, where)
-    fs.delete(old, True)
-    for folder in staged:
-        fs.delete(_fs(spark, folder)[1], True)
+        fs.delete(path(p), True)
+    fs.mkdirs(path(new))
+    found = 0
+    for folder in [f for f in staged if fs.exists(path(f))]:
+        for status in [s for s in fs.listStatus(path(folder)) if s.isDirectory()]:
+            # Hadoop takes no colon in a file's name
+            name = unquote(status.getPath().getName().removeprefix("bin=")).replace("/", "%2F").replace(":", "%3A") + extension
+            files = [f.getPath() for f in fs.listStatus(status.getPath()) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+            if len(files) > 1:
+                fs.mkdirs(path(f"{new}/{name}"))
+            for i, f in enumerate(sorted(files, key=str)):
+                _move(fs, f, path(f"{new}/{name}/part-{i:05d}{extension}" if len(files) > 1 else f"{new}/{name}"))
+            found += bool(files)
+    if not found:
+        raise ValueError(f"no bins in {list(staged)}")
+    had = fs.exists(where)
+    if had:
+        _move(fs, where, path(old))
+    try:
+        _move(fs, path(new), where)
+    except OSError:
+        if had:
+            _move(fs, path(old), where)
+        raise
+    for p in (old, *staged):
+        fs.delete(path(p), True)

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,46 @@ def test_sketch_is_a_sample_of_the_kmers(spark):
     assert got[3].hashes == [] and not got[4].hashes
 
 
+def plain_sketch(seq, k, scale):
+    """Letter by letter: canonical words as numbers of base four, mixed with Python's whole numbers."""
+    out, n = set(), 0
+    for i in range(len(seq) - k + 1):
+        w = seq[i : i + k]
+        if set(w) <= set("ACGT"):
+            n += 1
+            h = min(sum("ACGT".index(x) * 4 ** (k - 1 - j) for j, x in enumerate(v)) for v in (w, flip(w)))
+            h = h * S.MIX_A % 2**64
+            h = (h ^ (h >> 32)) * S.MIX_B % 2**64
+            h ^= h >> 29
+            out |= {h - (h >> 63 << 64)} if h >> 1 < scale * 2**63 else set()
+    return n, sorted(out)
+
+
+@pytest.mark.parametrize("k", [5, 21, 31])
+def test_sketch_equals_the_plain_one_across_windows(spark, monkeypatch, k):
+    monkeypatch.setattr(S, "WINDOWS", 50)
+    rng = np.random.default_rng(k)
+    seq = "".join(rng.choice(list("ACGTN"), 700, p=[0.245] * 4 + [0.02]))
+    n, hashes = S.sketch_of(np.frombuffer(seq.encode(), np.uint8), k, 0.3)
+    assert (n, hashes.tolist()) == plain_sketch(seq, k, 0.3)
+
+
+def test_long_words_are_hashed_alike_on_both_strands():
+    seq = "".join(np.random.default_rng(2).choice(list("ACGT"), 900))
+    one, two = (S.sketch_of(np.frombuffer(x.encode(), np.uint8), 45, 0.5) for x in (seq, flip(seq)))
+    assert one[0] == 856 and (one[1] == two[1]).all() and 380 < len(one[1]) < 480
+
+
+def test_sketching_takes_time_in_proportion_to_the_length():
+    data = np.frombuffer(b"ACGTTGCAAC", np.uint8)
+    took = []
+    for n in (100_000, 400_000):
+        began = time.perf_counter()
+        S.sketch_of(np.tile(data, n), 31, 0.1)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * max(took[0], 0.05)
+
+
 # fixed values: worked by hand from the formulas; mean and variance of a and b, strict result, symmetric result
 PAIRS = [
     ((5, 2), (5, 2), 1.0, D.FLOOR), ((5, 2), (7, 2), 0.5204998668282648, 0.5204998668282648), ((7, 2), (5, 2), 1.0, 0.5204998668282648),

@@ -25,19 +25,35 @@ SIZES = ["--min-contig-size", "1000", "--min-bin-size", "5000", "--min-contig-co
 
 
 def written(folder):
-    return sorted(line[1:] for p in folder.rglob("*.txt") for line in p.read_text().splitlines() if line.startswith(">"))
+    return sorted(line[1:] for p in ([folder] if folder.is_file() else folder.rglob("*.fna")) if p.is_file() for line in p.read_text().splitlines() if line.startswith(">"))
 
 
-def test_recover(spark, files):
-    M.main(["recover", "-r", str(files / "a.fna"), "-C", str(files / "c.tsv"), "-o", str(files / "out"), *SIZES])
+def test_recover_and_refine_of_its_output(spark, files):
+    given = ["-C", str(files / "c.tsv"), *SIZES]
+    M.main(["recover", "-r", str(files / "a.fna"), "-o", str(files / "out"), "--skip-refine", "--metrics", str(files / "metrics"), *given])
     assert written(files / "out") == sorted(f"c{i}" for i in range(40))
+    lines = [x.split("\t") for p in (files / "metrics").glob("part-*") for x in p.read_text().splitlines()]
+    assert lines and all(len(x) == 7 for x in lines) and all(0 <= float(v) for x in lines if int(x[1]) > 1 for v in x[3:])
     with pytest.raises(FileExistsError):
-        M.main(["recover", "-r", str(files / "a.fna"), "-C", str(files / "c.tsv"), "-o", str(files / "out"), *SIZES])
+        M.main(["recover", "-r", str(files / "a.fna"), "-o", str(files / "out"), *given])
+    M.main(["refine", "-d", str(files / "out"), "-o", str(files / "again"), *given])
+    assert written(files / "again") == sorted(f"c{i}" for i in range(40))
 
 
-def test_refine(spark, files):
-    M.main(["refine", "-d", str(files / "bins"), "-C", str(files / "c.tsv"), "-o", str(files / "better"), *SIZES])
+def test_refine_of_listed_files_with_a_kmer_table(spark, files):
+    from seqloom.functions import sequences as S
+    from seqloom.sources import sequences, sinks
+
+    contigs = sequences.read_contigs(spark, str(files / "a.fna"))
+    table = S.kmer_table(contigs, "contig", "seq").select("contig", S.frequencies("counts").alias("freqs"))
+    sinks.write_kmers(table, str(files / "kmers"))
+    M.main(["refine", "-f", str(files / "bins" / "one.fna"), "-C", str(files / "c.tsv"), "-K", str(files / "kmers"), "-o", str(files / "better"), *SIZES])
     assert written(files / "better") == sorted(f"c{i}" for i in range(40))
-    for p in (files / "better").glob("bin=*"):
+    for p in (files / "better").glob("*.fna"):
         if "unbinned" not in p.name:
             assert len({int(c[1:]) % 2 for c in written(p)}) == 1
+
+
+def test_coverage_is_asked_for(spark, files):
+    with pytest.raises(SystemExit):
+        M.main(["refine", "-d", str(files / "bins"), "-o", str(files / "none"), *SIZES])

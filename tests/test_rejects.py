@@ -91,8 +91,9 @@ def test_values_and_names(spark):
     parsed = R.parse_lines(spark.createDataFrame([(*r, "more") for r in lines], LINES + ", n_samples string"), files)
     assert {(r.line_id, r.reason) for r in R.rejects(parsed).collect()} == {(3, "column_count"), (4, "value"), (6, "column_count"), (7, "column_count"), (8, "value")}
     rows = sorted(tuple(r) for r in R.coverage_rows(parsed).where("line_id in (2, 5)").collect())
-    two = [(2, 1, 'k "1"', 15, 1.5, 1, "a", 10.0, 0.0), (2, 1, 'k "1"', 15, 1.5, 2, "b", 2.0, 3.0)]
-    assert rows == sorted([*two, *two, (5, 2, "c", 9, 1.0, 1, None, 1.0, 1.0)])
+    two = [(2, 1, 'k "1"', 15, None, 1.5, 1, "a", 10.0, 0.0), (2, 1, 'k "1"', 15, None, 1.5, 2, "b", 2.0, 3.0)]
+    assert {(r.contig_len, r.long_len) for r in R.coverage_rows(parsed).where("line_id = 9").collect()} == {(None, "9" * 40)}
+    assert rows == sorted([*two, *two, (5, 2, "c", 9, None, 1.0, 1, None, 1.0, 1.0)])
     assert [r.contig_len for r in R.coverage_rows(parsed).where("line_id = 9").collect()] == [None, None]
 
 

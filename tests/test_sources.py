@@ -82,11 +82,60 @@ def test_bins_round_trip_and_publish(spark, tmp_path):
     with pytest.raises(FileExistsError):
         sinks.write_bins(df, out)
     sinks.publish(spark, [out, str(tmp_path / "none")], target)
-    back = Q.read_fasta(spark, f"{target}/bin=b1/*").collect()
-    assert {(r.contig, r.seq) for r in back} == {("k1", "ACGT"), ("k2", "GG")}
+    assert sorted(p.name for p in (tmp_path / "bins").iterdir() if p.suffix != ".crc") == ["b1.fna", "b2.fna"]
+    back = Q.read_bins(spark, target).collect()
+    assert {(r.bin, r.contig, r.seq) for r in back} == {("b1", "k1", "ACGT"), ("b1", "k2", "GG"), ("b2", "k3", "")}
     sinks.write_bins(df.where("bin = 'b2'"), out)
     sinks.publish(spark, [out], target)
-    assert sorted(p.name for p in (tmp_path / "bins").glob("bin=*")) == ["bin=b2"]
+    assert {r.bin for r in Q.read_bins(spark, target).collect()} == {"b2"}
+
+
+def test_a_bin_of_several_files_is_read_as_one(spark, tmp_path):
+    rows = [("a b:c+", i, f"k{i}", "ACGT" * 5) for i in range(40)] + [("small", 99, "x", "A")]
+    out, target = str(tmp_path / "staged"), str(tmp_path / "bins")
+    # parts as small as these would share a task
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sinks.write_bins(spark.createDataFrame(rows, "bin string, contig_idx long, contig string, seq string"), out, part_bytes=50)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sinks.publish(spark, [out], target)
+    assert (tmp_path / "bins" / "a b%3Ac+.fna").is_dir() and (tmp_path / "bins" / "small.fna").is_file()
+    back = Q.read_bins(spark, target).collect()
+    assert sorted((r.bin, r.contig, r.seq) for r in back) == sorted((b, c, s) for b, _, c, s in rows)
+    files = [str(p) for p in (tmp_path / "bins").rglob("*.fna") if p.is_file()]
+    assert Q.read_bins(spark, files).count() == 41
+
+
+def test_publishing_fails_before_it_deletes(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("b1", 1, "k1", "ACGT")], "bin string, contig_idx long, contig string, seq string")
+    out, target = str(tmp_path / "staged"), str(tmp_path / "bins")
+    sinks.write_bins(df, out)
+    sinks.publish(spark, [out], target)
+    sinks.write_bins(df.withColumn("bin", F.lit("b2")), out)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_move", lambda fs, a, b: (_ for _ in ()).throw(OSError("no")))
+        with pytest.raises(OSError):
+            sinks.publish(spark, [out], target)
+    assert {r.bin for r in Q.read_bins(spark, target).collect()} == {"b1"} and list((tmp_path / "staged").rglob("part-*"))
+    with pytest.raises(ValueError):
+        sinks.publish(spark, [str(tmp_path / "none")], target)
+    assert Q.read_bins(spark, target).count() == 1
+
+
+def test_no_bins_are_an_error(spark, tmp_path):
+    (tmp_path / "y.txt").write_text(">b\nAC\n")
+    with pytest.raises(ValueError):
+        Q.read_bins(spark, str(tmp_path))
+
+
+def test_every_file_is_read_by_its_own_kind(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("\n>x wrapped\nACGT\nGGGG\r\nTTTT\n>y\nAC\n")
+    (tmp_path / "b.fna").write_text("@r\nACG\n+\nIII\n@s\nGG\n+\n@I\n")
+    (tmp_path / "c.fna").write_text("")
+    with gzip.open(tmp_path / "d.fq.gz", "wt") as f:
+        f.write("@z\nTT\n+\nII\n")
+    got = {r.contig: r.seq for r in Q.read_contigs(spark, str(tmp_path)).collect()}
+    assert got == {"x": "ACGTGGGGTTTT", "y": "AC", "r": "ACG", "s": "GG", "z": "TT"}
+    assert [r.contig_idx for r in Q.read_contigs(spark, str(tmp_path)).orderBy("contig_idx").collect()] == [0, 1, 2, 3, 4]
 
 
 def test_bins_by_file(spark, tmp_path):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import blocks as B
 from seqloom.operators import embedding, graphs, hdbscan
+from seqloom.operators import tables as T
 
 
 def frame(spark, x, labels=None):
@@ -94,6 +95,29 @@ def test_graphs(spark):
     assert {r.src for r in kept.collect()} == {0, 1, 2, 3} and [r.src for r in gone.collect()] == [9]
 
 
+def test_prefilter_goes_on_beyond_fifty_rounds(spark):
+    # a chain that loses its last node every round
+    nodes = spark.range(60).select(F.col("id").alias("src"))
+    seen = []
+
+    def build(kept, keep_n):
+        seen.append(keep_n)
+        last = 60 - len(seen)
+        return kept.where(F.col("src") < last).select("src", F.lit(0).cast("long").alias("dst"), F.lit(1.0).alias("distance"), F.lit(1).alias("rank")) if len(seen) < 54 else kept.select("src", F.lit(0).cast("long").alias("dst"), F.lit(1.0).alias("distance"), F.lit(1).alias("rank"))
+
+    kept, edges, gone = graphs.prefilter(nodes, build, 0, 2, rounds=3)
+    assert sorted(r.src for r in kept.collect()) == list(range(7)) and gone.count() == 53 and edges.count() == 7
+    assert seen[:5] == [0, 0, 0, 2, 4]
+
+
+def test_numbers_per_key_go_on_across_ranges(spark):
+    rows = [("hot" if i % 3 else None, i * 7 % 101) for i in range(100)]
+    got = T.numbered(spark.createDataFrame(rows, "k string, x int"), ["k"], ["x"], "n", parts=5).collect()
+    for key in ("hot", None):
+        mine = sorted((r.x, r.n) for r in got if r.k == key)
+        assert [n for _, n in mine] == list(range(len(mine))) and [x for x, _ in mine] == sorted(x for k, x in rows if k == key)
+
+
 def test_embedding_keeps_blobs_apart(spark, blobs):
     x = blobs[0][:55]
     packed = B.pack(frame(spark, x), "id", "vec", 3)

@@ -27,7 +27,7 @@ def test_refine_decision_takes_every_run_and_label(spark, tables):
     bins = {(1, 0): [0, 1, 2], (1, 58): [3, 6], (1, 100): [4, 5], (2, 58): [3, 4], (3, 7): [9]}
     rows = [(run, label, i, 10, AT) for (run, label), members in bins.items() for i in members] + [(2, None, 8, 10, AT)]
     d = tables("membership", rows, MEMBERS)
-    got = {(r.run_id, r.label): r.changed for r in relational.refine_decision_runs(spark, d).collect()}
+    got = {(r.run_id, r.label): r.changed for r in relational.refine_decision(spark, d).collect()}
     assert got == {k: len({i % 3 for i in members}) > 1 for k, members in bins.items()}
 
 
@@ -35,7 +35,7 @@ def test_missing_samples_sees_coverage_of_any_date(spark, tables):
     tables("samples", [("s1",), ("s2",), ("x/s3.bam",), ("s4",)], "sample_name string")
     rows = [("s1", dt.datetime(2023, 11, 4)), ("s2", dt.datetime(2023, 11, 5)), ("s3", dt.datetime(2030, 1, 1)), (None, AT)]
     d = tables("coverage", rows, "sample_name string, measured_at timestamp_ntz")
-    assert [r.sample_name for r in relational.missing_samples_whole(spark, d).collect()] == ["s4"]
+    assert [r.sample_name for r in relational.missing_samples(spark, d).collect()] == ["s4"]
 
 
 def planted_runs(tables):
@@ -52,19 +52,20 @@ def planted_runs(tables):
 def test_labelled_queries_take_every_run(spark, tables):
     bins, freqs, d = planted_runs(tables)
     merged = {}
-    for r in relational.super_merge_runs(spark, d).collect():
+    for r in relational.super_merge(spark, d).collect():
         merged.setdefault((r.run_id, r.merged_label), set()).add(r.contig_idx)
     # labels 5 and 6 have remainders 0 and 1 modulo 5, label 7 stays alone behind them
     assert merged == {(1, 0): {0, 1}, (1, 1): {2, 3}, (1, 2): {4}, (2, 0): {0, 2, 4}, (2, 1): {1, 3}}
-    part = {(r.run_id, r.contig_idx): r.part for r in relational.split_large_runs(spark, d).collect()}
+    part = {(r.run_id, r.contig_idx): r.part for r in relational.split_large(spark, d).collect()}
     assert part == {(run, i): "large" if len(m) > 1 else "cluster" for (run, _), m in bins.items() for i in m} | {(1, 5): "single", (2, 5): "single"}
-    names = {(r.run_id, r.contig_idx): r.bin for r in relational.bin_naming_runs(spark, d).collect()}
+    names = {(r.run_id, r.contig_idx): r.bin for r in relational.bin_naming(spark, d).collect()}
     assert names == {(run, i): f"bin_{label}" for (run, label), m in bins.items() for i in m} | {(1, 5): "bin_single_contig_1", (2, 5): "bin_single_contig_1"}
-    means = {(r.run_id, r.label): (r.n, r.mean_distance) for r in vectors.bin_metrics_tnf_runs(spark, d).collect()}
+    means = {(r.run_id, r.label): (r.n, r.mean_distance) for r in vectors.bin_metrics_tnf(spark, d).collect()}
     kernel = B.proportional(np.array(freqs), np.array(freqs))
-    assert means.keys() == {k for k, m in bins.items() if len(m) > 1}
+    assert means.keys() == bins.keys()
     for k, (n, mean) in means.items():
-        assert n == len(bins[k]) and mean == pytest.approx(np.mean([kernel[i, j] for i in bins[k] for j in bins[k] if i < j]), abs=1e-6)
+        # a single contig has no mean
+        assert n == 1 and mean is None if len(bins[k]) == 1 else n == len(bins[k]) and mean == pytest.approx(np.mean([kernel[i, j] for i in bins[k] for j in bins[k] if i < j]), abs=1e-6)
 
 
 def test_hub_distances_take_every_run(spark, tables):
@@ -72,7 +73,7 @@ def test_hub_distances_take_every_run(spark, tables):
     rows = [(f"c{i} x", 600_000, s, float(10 + 5 * i), 4.0, AT, AT, i) for i in range(6) for s in ("a", "b")]
     tables("coverage", rows, "contig string, contig_len long, sample_name string, mean_depth double, var_depth double, received_at timestamp_ntz, measured_at timestamp_ntz, cov_id long")
     want = {(run, i, min(m)) for (run, _), m in bins.items() for i in m if i != min(m)}
-    tnf, depth = (f(spark, d).collect() for f in (vectors.tnf_distance_pairs_runs, vectors.depth_distance_pairs_runs))
+    tnf, depth = (f(spark, d).collect() for f in (vectors.tnf_distance_pairs, vectors.depth_distance_pairs))
     assert {(r.run_id, r.contig_idx, r.hub) for r in tnf} == want and len(tnf) == len(want)
     assert {(r.run_id, r.contig_idx, r.hub) for r in depth} == want and len(depth) == len(want)
     assert all(r.euclidean == pytest.approx(np.linalg.norm(np.subtract(freqs[r.contig_idx], freqs[r.hub])), abs=1e-6) for r in tnf)
