@@ -7,6 +7,8 @@ of files and offsets, given once and carried on.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +34,14 @@ def _text(spark: SparkSession, path: str | list[str], separator: str | None = No
 def files_of(spark: SparkSession, path: str | list[str], glob: str | None = None) -> list[str]:
     """The files of a path, folders with all that lies below them."""
     reader = spark.read.option("recursiveFileLookup", True)
-    return sorted((reader.option("pathGlobFilter", glob) if glob else reader).text(path).inputFiles())
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).text(path).inputFiles()
+    return sorted(unquote(file) for file in found)
 
 
 def is_fastq(spark: SparkSession, file: str) -> bool:
     """Whether a file's first byte other than white space says FASTQ; only its beginning is read."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    where = jvm.org.apache.hadoop.fs.Path(file)
     codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
     stream = where.getFileSystem(conf).open(where)
     stream = codec.createInputStream(stream) if codec else stream
