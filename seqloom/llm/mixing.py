@@ -4,15 +4,20 @@ Slot *j* of the mix belongs to the source whose stretch of the cumulative
 weights holds the golden-ratio point ``frac((j + 0.5) * phi)``; a source's r-th
 slot takes its r-th block of ``block_tokens`` tokens. A source's blocks are its
 documents in shuffled order, shuffled anew for each repetition, cut by their
-running token sum; it ends with the document that comes nearest to the target. A source whose target exceeds ``max_repeats`` times its
-tokens gives all it may and leaves its further slots empty; the others keep
-their share of the whole.
+running token sum; it ends with the document that comes nearest to the target.
+
+Two rules for the mix's size: ``all`` makes it as large as all documents; a source
+whose target exceeds ``max_repeats`` times its tokens gives all it may and leaves
+its further slots empty, while the others keep their share of the whole.
+``shares`` makes it the largest mix in which every source with documents holds
+its share, relative to the shares of these sources.
 
 Defined results: sources are compared trimmed and in lower case; documents
 without a source, of a source without target, or without tokens are not drawn,
 though their tokens count in the mix size; a target without documents draws
 nothing; a null or negative share or repeat count is 0; a source named twice
-keeps its first target by share.
+keeps its first target by share. Shares are taken as they are: where they add up
+to more than 1, the mix is larger than all documents by as much.
 """
 
 from __future__ import annotations
@@ -27,18 +32,20 @@ from seqloom.operators.ranks import running_sum
 from seqloom.session import cut
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-MAX_SOURCES, SLACK = 10_000, 64
+MAX_SOURCES, SLACK, BUCKET_TOKENS = 10_000, 64, 1 << 26
 
 
 def source_name(name: Column) -> Column:
     return F.lower(F.trim(name))
 
 
-def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def budgets(sized: DataFrame, targets: DataFrame, rule: str = "all") -> DataFrame:
     """Per target: ``source, target_share, max_repeats, own_tokens, capacity, target_tokens, total_tokens``.
 
-    *sized*: ``doc_id, source, n_tokens`` with clean source names.
+    *sized*: ``doc_id, source, n_tokens`` with clean source names; *rule*: ``all`` or ``shares``.
     """
+    if rule not in ("all", "shares"):
+        raise ValueError(f"no rule {rule!r}")
     own = sized.groupBy("source").agg(F.sum("n_tokens").alias("own"))
     total = own.agg(F.coalesce(F.sum("own"), F.lit(0)).cast("long").alias("total_tokens"))
     zero = F.lit(0)
@@ -50,10 +57,16 @@ def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
     joined = wanted.join(own, "source", "left").crossJoin(F.broadcast(total))
     tokens = F.coalesce("own", zero).cast("long")
-    return joined.select(
+    rows = joined.select(
         "source", "target_share", "max_repeats", tokens.alias("own_tokens"), (tokens * F.col("max_repeats")).alias("capacity"),
         (F.col("target_share") * F.col("total_tokens")).alias("target_tokens"), "total_tokens",
     )
+    if rule == "all":
+        return rows
+    # the source that is short the most sets the size
+    size = rows.where("capacity > 0 and target_share > 0").agg(F.coalesce(F.min(F.col("capacity") / F.col("target_share")), F.lit(0.0)).alias("__size"))
+    target = F.when(F.col("capacity") > 0, F.col("target_share") * F.col("__size")).otherwise(0.0)
+    return rows.crossJoin(F.broadcast(size)).withColumn("target_tokens", target).drop("__size")
 
 
 def block_size(total_tokens: int) -> int:
@@ -67,11 +80,11 @@ def schedule(budget: DataFrame, block_tokens: int) -> DataFrame:
     known = budget.orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(known) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources with a target")
-    weight = [r["target_share"] for r in known]
+    weight = [r["target_tokens"] for r in known]
     if not known or sum(weight) <= 0:
         return spark.createDataFrame([], "slot long, source string, block_no long")
     # some slots more than tokens ask for, as a source's slots may fall short by a few; mix() cuts at the target
-    n_slots = math.ceil(known[0]["total_tokens"] * min(1.0, sum(weight)) / block_tokens) + 2 * len(known)
+    n_slots = math.ceil(sum(weight) / block_tokens) + 2 * len(known)
     sums, at = [], 0.0
     for w in weight:
         at += w / sum(weight)
@@ -84,9 +97,9 @@ def schedule(budget: DataFrame, block_tokens: int) -> DataFrame:
     return running_sum(slots, ["source"], F.floor(F.col("slot") / 65536), ["slot"], F.lit(1).cast("long"), "block_no")
 
 
-def planned(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """Budget, schedule and block size of a mix as large as all documents."""
-    budget = cut(budgets(sized, targets))
+def planned(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None, rule: str = "all") -> tuple[DataFrame, DataFrame, int]:
+    """Budget, schedule and block size of a mix by *rule*."""
+    budget = cut(budgets(sized, targets, rule))
     total = budget.agg(F.max("total_tokens")).first()[0] or 0
     block = block_tokens or block_size(total)
     return budget, cut(schedule(budget, block)), block
@@ -103,9 +116,12 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None, s
     uses = sized.where("n_tokens > 0").join(F.broadcast(need), "source").select(  # at most MAX_SOURCES rows
         "source", "doc_id", "n_tokens", "own_tokens", "n_slots", "target_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("use_no")
     )
+    # buckets of about BUCKET_TOKENS of the largest source
+    largest = budget.agg(F.max("own_tokens")).first()[0] or 0
+    bits = max(8, math.ceil(math.log2(max(1, largest // BUCKET_TOKENS))))
     order = F.xxhash64(F.lit(seed), "use_no", "doc_id")
     uses = uses.withColumn("place", order)
-    ran = running_sum(uses, ["source", "use_no"], F.shiftright("place", 56), ["place", "doc_id"], F.col("n_tokens"), "before")
+    ran = running_sum(uses, ["source", "use_no"], F.shiftright("place", 64 - bits), ["place", "doc_id"], F.col("n_tokens"), "before")
     ran = ran.withColumn("before", F.col("before") + F.col("use_no") * F.col("own_tokens"))
     # the last document is drawn if that brings the source nearer to its target
     drawn = ran.withColumn("block_no", F.floor(F.col("before") / block_tokens)).where("block_no < n_slots and before + n_tokens / 2 <= target_tokens").select("source", "doc_id", "use_no", "n_tokens", "block_no", "before")
@@ -113,15 +129,19 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None, s
 
 
 def short_sources(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None) -> DataFrame:
-    """Sources that cannot reach their target: the schedule asks them for more blocks than they may give, and so does the exact sum.
+    """Sources that cannot reach their target: the schedule gives them slots that no block is left for, or nearly so, and the exact sum decides.
 
-    The slots of a source keep within a few blocks of its share (golden-ratio points
-    deviate by about the logarithm of their number), so sources whose slots come
-    within SLACK blocks of the capacity are all that the exact check has to see.
+    A slot is open if its block begins less than SLACK blocks before the source's
+    tokens end. A source's slots keep within a few blocks of its target (golden-ratio
+    points deviate by about the logarithm of their number), so a short source has an
+    open slot. One that the schedule gives no slot, its target being under a few
+    blocks, is open if it has under SLACK blocks.
     """
     budget, slots, block = planned(sized, targets, block_tokens)
-    asked = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n_slots"))
-    near = budget.join(asked, "source", "left").where((F.coalesce("n_slots", F.lit(0)) + SLACK) * F.lit(block) > F.col("capacity"))
+    # one row per source, at most MAX_SOURCES
+    given = slots.join(F.broadcast(budget.select("source", "capacity")), "source")
+    asked = given.groupBy("source").agg(F.max((F.col("block_no") + SLACK) * F.lit(block) > F.col("capacity")).alias("open"))
+    near = budget.join(asked, "source", "left").where(F.coalesce("open", F.col("capacity") < SLACK * block))
     return near.where(F.col("target_tokens") > F.col("capacity")).select("source")
 
 

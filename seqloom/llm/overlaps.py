@@ -3,8 +3,11 @@
 The state holds pair counts, never intersections. When identifiers join or
 leave sets, each changed identifier is met with its other memberships (in
 buckets of identifiers), and every pair of sets it is in, or was in, gets +1 or
--1; a bucket adds up its deltas before they travel. Loading from nothing is one
-batch of joins.
+-1; a bucket adds up its deltas before they travel. A batch reads the members of
+the buckets that it changes, and of no other; its deltas are kept beside those of
+the batches before, and added up when counts are asked for or after ``compacted``.
+Buckets are split anew as the members double, so a bucket stays within a task.
+Loading from nothing is one batch of joins.
 
 An identifier in more than ``RARE`` sets would give pairs without end. Its
 memberships are kept as incidence rows instead, and an identifier that crosses
@@ -24,7 +27,7 @@ in changes nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +45,29 @@ _DELTAS = "what int, a long, b long, n long, bucket int, items array<long>"
 
 @dataclass
 class Overlaps:
-    """``pairs``: a, b, common (by rare identifiers); ``heavy``: set_id, item; ``sizes``: set_id, n_items; ``members``: bucket, set_id, items, or None."""
+    """Signed deltas, to be added up: ``pairs``: a, b, common (by rare identifiers); ``heavy``: set_id, item, n; ``sizes``: set_id, n_items. ``members``: bucket, set_id, items, or None."""
 
     pairs: DataFrame
     heavy: DataFrame
     sizes: DataFrame
     members: DataFrame | None
     n_buckets: int
+    n_members: int = 0
+
+    def summed(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pair counts, heavy memberships and set sizes as they stand."""
+        return (
+            self.pairs.groupBy("a", "b").agg(F.sum("common").alias("common")).where("common <> 0"),
+            self.heavy.groupBy("set_id", "item").agg(F.sum("n").alias("n")).where("n > 0").select("set_id", "item"),
+            self.sizes.groupBy("set_id").agg(F.sum("n_items").alias("n_items")).where("n_items > 0"),
+        )
+
+
+def compacted(state: Overlaps) -> Overlaps:
+    """The state with all batches' deltas added up and kept anew."""
+    pairs, heavy, sizes = state.summed()
+    one = F.lit(1).cast("long").alias("n")
+    return replace(state, pairs=cut(pairs), heavy=cut(heavy.select("set_id", "item", one)), sizes=cut(sizes), members=cut(state.members) if state.members is not None else None)
 
 
 def _mix(items: np.ndarray) -> np.ndarray:
@@ -149,26 +168,28 @@ def apply_changes(state: Overlaps | None, changes: DataFrame, keep_members: bool
     if state is None:
         total = changes.agg(F.sum(F.greatest(F.size("items"), F.lit(0)))).first()[0] or 0
         n_buckets = max(1, -(-total // BUCKET_ITEMS))
-        rows = _spread(changes, n_buckets)
+        rows, others = _spread(changes, n_buckets), None
     else:
-        n_buckets = state.n_buckets
-        rows = _spread(changes, n_buckets).unionByName(state.members.select("bucket", "set_id", F.lit(0).alias("kind"), "items"))
+        n_buckets, members = state.n_buckets, state.members
+        if state.n_members > 2 * BUCKET_ITEMS * n_buckets:
+            n_buckets = -(-state.n_members // BUCKET_ITEMS)
+            members = cut(_spread(members.select("set_id", F.lit(0).alias("kind"), "items"), n_buckets).drop("kind"))
+        changed = cut(_spread(changes, n_buckets))
+        touched = changed.select("bucket").distinct()
+        rows = changed.unionByName(members.join(touched, "bucket", "left_semi").select("bucket", "set_id", F.lit(0).alias("kind"), "items"))
+        others = members.join(touched, "bucket", "left_anti")
     found = cut(rows.groupBy("bucket").applyInArrow(lambda t: bucket_deltas(t, keep_members), _DELTAS))
     pairs = found.where(f"what = {PAIR}").select("a", "b", F.col("n").alias("common"))
     heavy = found.where(f"what = {HEAVY}").select(F.col("a").alias("set_id"), F.col("b").alias("item"), "n")
     sizes = found.where(f"what = {SIZE}").select(F.col("a").alias("set_id"), F.col("n").alias("n_items"))
-    if state is not None:
-        pairs = pairs.unionByName(state.pairs)
-        heavy = heavy.unionByName(state.heavy.withColumn("n", F.lit(1).cast("long")))
-        sizes = sizes.unionByName(state.sizes)
-    heavy = heavy if state is None else heavy.groupBy("set_id", "item").agg(F.sum("n").alias("n")).where("n > 0")
+    kept = found.where(f"what = {MEMBER}").select("bucket", F.col("a").alias("set_id"), "items") if keep_members else None
+    n_members = (sizes.agg(F.sum("n_items")).first()[0] or 0) if keep_members else 0
+    if state is None:
+        return Overlaps(pairs, heavy, sizes, kept, n_buckets, n_members)
     return Overlaps(
-        pairs.groupBy("a", "b").agg(F.sum("common").alias("common")).where("common <> 0"),
-        heavy.select("set_id", "item"),
-        sizes.groupBy("set_id").agg(F.sum("n_items").alias("n_items")).where("n_items > 0"),
-        found.where(f"what = {MEMBER}").select("bucket", F.col("a").alias("set_id"), "items") if keep_members else None,
-        n_buckets,
-    )
+        state.pairs.unionByName(pairs), state.heavy.unionByName(heavy), state.sizes.unionByName(sizes),
+        others.unionByName(kept) if keep_members else None, n_buckets, state.n_members + n_members,
+    )
 
 
 def _count_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +237,16 @@ def _incidence(table: pa.Table, share: float) -> pa.Table:
 
 def estimates(state: Overlaps, share: float) -> DataFrame:
     """``a < b, common, n_a, n_b, jaccard, containment`` of the pairs whose common identifiers are at least *share* of the smaller set."""
-    own = state.heavy.groupBy("set_id").agg(F.collect_list("item").alias("items"))
-    info = cut(state.sizes.join(own, "set_id", "left").withColumn("n_heavy", F.greatest(F.size("items"), F.lit(0))))
+    pair_counts, heavy_items, set_sizes = state.summed()
+    own = heavy_items.groupBy("set_id").agg(F.collect_list("item").alias("items"))
+    info = cut(set_sizes.join(own, "set_id", "left").withColumn("n_heavy", F.greatest(F.size("items"), F.lit(0))))
     light = info.drop("items")
     out = "a long, b long, n_a long, n_b long, common long"
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select(F.col("set_id").alias(s), *(F.col(c).alias(f"{c[:1] if c == 'n_items' else 'h' if c == 'n_heavy' else c}_{s}") for c in df.columns if c != "set_id"))
 
-    pairs = cut(state.pairs)
+    pairs = cut(pair_counts)
     least = F.least("n_a", "n_b") * F.lit(share)
     open_ = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(F.col("common") + F.least("h_a", "h_b") >= least).select("a", "b", "n_a", "n_b", "common")
     lists = info.select("set_id", "items")

@@ -4,7 +4,8 @@ Sizes are whole numbers up to the capacity, so the instance is its histogram:
 at most ``capacity`` counts, whatever the number of items. On the histogram,
 Martello and Toth's dominance reduction fixes sets of one to three sizes that
 provably belong to some best solution, as often as the counts allow at once;
-the sizes that are left are packed best-fit, fullest container first. The
+the sizes that are left are packed best-fit, each into the fullest container that
+takes it. The
 result is a list of patterns with multiplicities. Items get a rank within their
 size (distributed, see ``operators.ranks``) and find their container by rank.
 
@@ -17,7 +18,7 @@ and has a null container; repeated items are packed each; ties go by id.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -115,38 +116,44 @@ def reduce(h: Histogram, capacity: int) -> list[tuple[tuple[int, ...], int]]:
 
 
 def best_fit(h: Histogram, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Packs the histogram: each container starts with the largest item and is filled by the largest that fits, a last pair by exact match if there is one."""
-    out: list[tuple[tuple[int, ...], int]] = []
-    while h.count:
-        sets: tuple[int, ...] = ()
-        room = capacity
-        while s := h.largest(room, *sets):
-            if sets and room - s and (pair := _exact(h, room, sets)):
-                sets, room = (*sets, *pair), 0
-                break
-            sets, room = (*sets, s), room - s
-        times = h.times(sets)
-        h.take(sets, times)
-        out.append((sets, times))
-    return out
-
-
-def _exact(h: Histogram, room: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
-    """Sizes of at most two items that fill *room* to the last."""
-    if h.count.get(room, 0) > used.count(room):
-        return (room,)
-    low, high = 0, bisect_right(h.sizes, room) - 1
-    while low <= high:
-        a, b = h.sizes[low], h.sizes[high]
-        if a + b < room:
-            low += 1
-        elif a + b > room:
-            high -= 1
-        elif h.count[a] - used.count(a) >= 1 + (a == b) and h.count[b] - used.count(b) >= 1 + (a == b):
-            return (a, b)
-        else:
-            low, high = low + 1, high - 1
-    return None
+    """Packs the histogram best-fit: items by falling size, each into the fullest container that takes it, else into a new one.
+
+    Containers of one filling are one group, and a size is placed a group at a time,
+    so the work depends on the sizes, not on the items. A size splits at most one
+    group, so groups are few.
+    """
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room: filling and how many containers
+    rooms: list[int] = []  # in use, sorted
+
+    def put(room: int, sets: tuple[int, ...], times: int) -> None:
+        if times:
+            if room not in groups:
+                insort(rooms, room)
+            groups.setdefault(room, []).append((sets, times))
+
+    for s in reversed(h.sizes):
+        left = h.count[s]
+        while left:
+            k = bisect_left(rooms, s)
+            if k < len(rooms):
+                room = rooms[k]
+                sets, times = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[k]
+            else:
+                room, sets, times = capacity, (), left
+            # a container stays the fullest that takes the size until it takes no more of it
+            each = room // s
+            whole = min(times, left // each)
+            rest = left - whole * each if whole < times else 0
+            put(room - each * s, (*sets, *[s] * each), whole)
+            if rest:
+                put(room - rest * s, (*sets, *[s] * rest), 1)
+            if sets:
+                put(room, sets, times - whole - bool(rest))
+            left -= whole * each + rest
+    h.count, h.sizes = {}, []
+    return [g for room in rooms for g in groups[room]]
 
 
 def solve(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -176,8 +183,11 @@ def pieces(items: DataFrame, item_id: str, size: str, capacity: int) -> DataFram
     return each.select("item_id", "piece_no", F.least(F.col("n") - F.col("piece_no") * capacity, F.lit(capacity).cast("long")).alias("n_tokens"))
 
 
-def pack(items: DataFrame, item_id: str, size: str, capacity: int = 2048, buckets: int = 256) -> DataFrame:
-    """``item_id, piece_no, n_tokens, container_id`` for every item of *items*."""
+def pack(items: DataFrame, item_id: str, size: str, capacity: int = 2048, bucket_rows: int = 1 << 18) -> DataFrame:
+    """``item_id, piece_no, n_tokens, container_id`` for every item of *items*.
+
+    Items are ranked within their size in buckets of about *bucket_rows* by hashed id, as many as the commonest size asks for.
+    """
     rows = cut(pieces(items, item_id, size, capacity))
     counts = {r["n_tokens"]: r["n"] for r in rows.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     table = slots(solve(counts, capacity))
@@ -190,7 +200,8 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int = 2048, bucket
         [(s, [r[1] for r in rs], [r[3] for r in rs], [r[4] for r in rs]) for s, rs in by_size.items()],
         "size long, firsts array<long>, containers array<long>, times array<long>",
     )
-    bucket = F.pmod(F.xxhash64("item_id"), F.lit(buckets))
+    buckets = max(1, -(-max(counts.values(), default=0) // bucket_rows))
+    bucket = F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(buckets))
     ranked = running_sum(rows.where("n_tokens > 0"), ["n_tokens"], bucket, ["item_id", "piece_no"], F.lit(1).cast("long"), "rank")
     placed = ranked.join(F.broadcast(where), F.col("n_tokens") == F.col("size")).mapInArrow(_place, "item_id long, piece_no long, n_tokens long, container_id long")
     empty = rows.where("n_tokens = 0").select("item_id", "piece_no", "n_tokens", F.lit(None).cast("long").alias("container_id"))

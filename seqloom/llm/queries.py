@@ -37,6 +37,21 @@ def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d, 0.1)
 
 
+def p3_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """``p3_overlaps`` from batches: a first load of the wrong members, then joins and leaves until the sets are those of the table."""
+    rows = read(spark, d, "sketch").where("contig_idx is not null and hashes is not null")
+    third = lambda want: F.filter("hashes", lambda h: F.pmod(h, F.lit(3)).isin(want))
+    # hashes of the next contig's set, and of its own by every third value
+    strange = rows.select((F.col("contig_idx") + 1).alias("contig_idx"), F.filter("hashes", lambda h: F.pmod(h, F.lit(30)) == 1).alias("hashes"))
+    wrong = strange.join(rows.select("contig_idx").distinct(), "contig_idx", "left_semi")
+    batch = lambda t, items, sign: t.select(F.col("contig_idx").alias("set_id"), items.alias("items"), F.lit(sign).alias("sign"))
+    state = overlaps.apply_changes(None, batch(rows, third([0, 1]), 1).unionByName(batch(wrong, F.col("hashes"), 1)))
+    state = overlaps.apply_changes(state, batch(rows, third([2]), 1).unionByName(batch(wrong, F.col("hashes"), -1)))
+    # leaving took hashes that both sets have; they join again
+    state = overlaps.compacted(overlaps.apply_changes(state, batch(rows, third([1]), 1)))
+    return overlaps.estimates(state, 0.1).withColumnsRenamed({"a": "contig_a", "b": "contig_b", "common": "common_hashes"})
+
+
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """``p3_overlaps`` of every pair with a common hash; the rows grow with the square of the sets that share one."""
     hashes = cut(read(spark, d, "sketch").select(F.col("contig_idx").alias("s"), F.explode("hashes").alias("h")).where("s is not null and h is not null").distinct())
@@ -117,6 +132,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, targets, plan=plan), plan[0])
 
 
+def p8_even_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the largest mix that meets them for all sources with documents."""
+    sized, targets = _sized(spark, d), read(spark, d, "mix_targets")
+    plan = mixing.planned(sized, targets, rule="shares")
+    return mixing.shares(mixing.mix(sized, targets, plan=plan), plan[0])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(read(spark, d, "documents"), LIMIT, OVERLAP).select("doc_id").distinct()
 
@@ -143,11 +165,11 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p3_pairs": p3_pairs,
+    "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p3_deltas": p3_deltas, "p3_pairs": p3_pairs,
     "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_depths": p4_depths,
     "p6_found": p6_found, "p6_members": p6_members, "p6_clusters": p6_clusters,
     "p7_pack": p7_pack, "p7_report": p7_report,
-    "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_even_shares": p8_even_shares,
     "p9_found": p9_found, "p9_pieces": p9_pieces,
 }
 
@@ -169,6 +191,9 @@ ORACLE: dict[str, str] = {
     "p3_overlaps": f"""with {_SETS} select contig_a, contig_b, common_hashes, n_a, n_b,
       common_hashes / (n_a + n_b - common_hashes) as jaccard, common_hashes / least(n_a, n_b) as containment
       from p where common_hashes >= 0.1 * least(n_a, n_b)""",
+    "p3_deltas": f"""with {_SETS} select contig_a, contig_b, common_hashes, n_a, n_b,
+      common_hashes / (n_a + n_b - common_hashes) as jaccard, common_hashes / least(n_a, n_b) as containment
+      from p where common_hashes >= 0.1 * least(n_a, n_b)""",
     "p3_pairs": f"""with {_SETS} select contig_a, contig_b, common_hashes, n_a, n_b,
       common_hashes / (n_a + n_b - common_hashes) as jaccard, common_hashes / least(n_a, n_b) as containment from p""",
     "p4_found": f"""with {_WHOLE},

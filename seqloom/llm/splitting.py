@@ -24,10 +24,10 @@ pieces; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,7 +111,7 @@ def _texts(docs: DataFrame, doc_id: str, text: str, limit: int, size: int, halo:
 
 
 def file_ranges(spark: SparkSession, paths: DataFrame, size: int, halo: int) -> DataFrame:
-    """Ranges of giant files: *paths* (``doc_id, path, n_bytes``) of a shared folder, read by seeking."""
+    """Ranges of giant files: *paths* (``doc_id, path, n_bytes``; a path or an address of a file system that Arrow knows), read by seeking."""
     last = F.floor((F.greatest(F.col("n_bytes"), F.lit(1)) - 1) / F.lit(size))
     plan = paths.where("n_bytes > 0").withColumn("last", last).select("doc_id", "path", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("range_no"))
 
@@ -120,7 +120,8 @@ def file_ranges(spark: SparkSession, paths: DataFrame, size: int, halo: int) ->
             for r in pdf.itertuples():
                 lead = min(halo, r.range_no * size)
                 base = r.range_no * size - lead
-                with Path(r.path).open("rb") as f:
+                system, path = FileSystem.from_uri(r.path)
+                with system.open_input_file(path) as f:
                     f.seek(base)
                     piece = f.read(lead + size + (0 if r.range_no == r.last else halo))
                 yield pd.DataFrame({"doc_id": [r.doc_id], "range_no": [r.range_no], "lead": [lead], "base": [base], "is_last": [r.range_no == r.last], "slice": [piece]})

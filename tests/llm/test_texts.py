@@ -141,11 +141,30 @@ def test_reduction_keeps_the_optimum(sizes):
     assert sorted(used) == sorted(sizes) and all(sum(s) <= 20 for s, _ in patterns)
 
 
+def plain_best_fit(sizes, capacity):
+    """One item after another, each into the fullest container that takes it."""
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - s)
+    return sorted(rooms)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_best_fit_by_groups_is_best_fit_by_items(sizes):
+    patterns = packing.best_fit(packing.Histogram({s: sizes.count(s) for s in sizes}), 20)
+    assert sorted(20 - sum(sets) for sets, n in patterns for _ in range(n)) == plain_best_fit(sizes, 20)
+    assert sorted(s for sets, n in patterns for s in sets for _ in range(n)) == sorted(sizes)
+
+
 def test_pack(spark):
     rng = random.Random(5)
     sizes = [rng.choice([0, 3, 3, 3, 40, 55, 60, 99, 100, 101, 250, 700]) for _ in range(400)] + [None, -4]
     df = spark.createDataFrame([(i, s, 1) for i, s in enumerate(sizes)], "doc_id long, n long, rank int")
-    rows = packing.pack(df, "doc_id", "n", 100, buckets=4).collect()
+    rows = packing.pack(df, "doc_id", "n", 100, bucket_rows=20).collect()
     got = {}
     for r in rows:
         got.setdefault(r.item_id, []).append(r)
@@ -204,7 +223,7 @@ def test_mix(spark):
 
 
 def test_slots_are_spread_evenly(spark):
-    budget = spark.createDataFrame([("a", 0.5, 1, 1, 1, 1.0, 100_000), ("b", 0.25, 1, 1, 1, 1.0, 100_000), ("c", 0.25, 1, 1, 1, 1.0, 100_000)], "source string, target_share double, max_repeats long, own_tokens long, capacity long, target_tokens double, total_tokens long")
+    budget = spark.createDataFrame([("a", 0.5, 1, 1, 1, 50_000.0, 100_000), ("b", 0.25, 1, 1, 1, 25_000.0, 100_000), ("c", 0.25, 1, 1, 1, 25_000.0, 100_000)], "source string, target_share double, max_repeats long, own_tokens long, capacity long, target_tokens double, total_tokens long")
     rows = sorted((r.slot, r.source, r.block_no) for r in mixing.schedule(budget, 100).collect())
     assert len(rows) == 1006
     seen = {"a": 0, "b": 0, "c": 0}
@@ -214,6 +233,31 @@ def test_slots_are_spread_evenly(spark):
         assert abs(seen["a"] - n / 2) <= 3 and abs(seen["b"] - n / 4) <= 3
 
 
+def test_shares_beyond_the_whole_are_all_short(spark):
+    sized = spark.createDataFrame([(i, "a" if i < 60 else "b", 1000) for i in range(100)], SIZED)
+    targets = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1)], TARGETS)
+    assert {r.source for r in mixing.short_sources(sized, targets, 500).collect()} == {"a", "b"}
+    assert sum(r.n_tokens for r in mixing.mix(sized, targets, 500).collect()) == 100_000
+
+
+def test_short_sources_at_the_edge(spark):
+    # targets of 30, 50 and 20 thousand tokens: one that is just enough, one a token short, one without any document
+    sized = spark.createDataFrame([(1, "a", 30_000), (2, "b", 24_999), (3, "c", 44_999), (4, None, 2)], SIZED)
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.5, 2), ("gone", 1e-6, 5)], TARGETS)
+    assert {r.source for r in mixing.short_sources(sized, targets, 100).collect()} == {"b", "gone"}
+
+
+def test_a_mix_of_even_shares(spark):
+    sized = spark.createDataFrame([(i, "a" if i < 100 else "b", 50) for i in range(1000)], SIZED)
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("gone", 0.2, 9)], TARGETS)
+    plan = mixing.planned(sized, targets, 100, rule="shares")
+    got = {r.source: r for r in mixing.shares(mixing.mix(sized, targets, plan=plan), plan[0]).collect()}
+    assert got["a"].mix_tokens == 10_000 and got["a"].most_uses == 2 and got["gone"].mix_tokens == 0
+    assert got["a"].share_of_mix == pytest.approx(0.5 / 0.8, abs=0.01) and got["b"].share_of_mix == pytest.approx(0.3 / 0.8, abs=0.01)
+    with pytest.raises(ValueError):
+        mixing.budgets(sized, targets, "other")
+
+
 def test_empty_mixes(spark):
     sized, targets = spark.createDataFrame([(1, "a", 5)], SIZED), spark.createDataFrame([("a", 1.0, 2)], TARGETS)
     assert mixing.mix(sized.limit(0), targets).count() == 0

@@ -300,3 +300,50 @@ def test_bucket_kernel_takes_sorted_and_unsorted():
     table = pa.table({"bucket": pa.array([0, 0], pa.int32()), "set_id": [2, 1], "kind": pa.array([1, 1], pa.int32()), "items": pa.array([[9, 3, 3], [3, 9]], pa.list_(pa.int64()))})
     rows = overlaps.bucket_deltas(table, False).to_pylist()
     assert [(r["a"], r["b"], r["n"]) for r in rows if r["what"] == overlaps.PAIR] == [(1, 2, 2)]
+
+
+def test_roots_are_the_cut_and_levels_change_nothing(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(0, 1, (60, 3)), rng.normal(6, 0.7, (50, 3)), rng.normal(6, 0.1, (20, 3)) + 2, rng.uniform(-30, 30, (15, 3))))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, x[0].tolist())], "id long, vec array<double>")
+
+    def groups(df):
+        out = {}
+        for r in df.where("cluster is not null").collect():
+            out.setdefault(r.cluster, set()).add(r.id)
+        return {frozenset(g) for g in out.values()}
+
+    whole = groups(density.cluster(rows, 3, 2.0))
+    assert len(whole) > 1 and whole == groups(density.cluster(rows, 3, 2.0, level_links=30))
+    near = np.linalg.norm(x[:, None] - x, axis=2) <= 1.2
+    reach = near.copy()
+    for _ in range(9):
+        reach = (reach.astype(int) @ reach) > 0
+    # the copy of row 0 belongs with it
+    want = {frozenset([*np.flatnonzero(r), *([500] if r[0] else [])]) for r in reach}
+    got = {}
+    for r in density.chained(rows, 1.2, 5, 3).collect():
+        got.setdefault(r.cluster_key, set()).add(r.id)
+    assert {frozenset(g) for g in got.values()} == {g for g in want if len(g) >= 5}
+
+
+def test_a_delta_reads_its_buckets_only_and_buckets_are_split_anew(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "BUCKET_ITEMS", 20)
+    sets = {s: set(range(s, s + 60)) for s in range(4)}
+    state = overlaps.apply_changes(None, changes(spark, [(s, list(items), 1) for s, items in sets.items()]))
+    assert state.n_buckets == 12 and state.n_members == 240
+    # one identifier changes one bucket; the members of the others stay where they are
+    after = overlaps.apply_changes(state, changes(spark, [(0, [1000], 1)]))
+    bucket = int(overlaps._mix(np.array([1000]))[0] % np.uint64(12))
+    before = {(r.bucket, r.set_id): sorted(r["items"]) for r in state.members.collect()}
+    now = {(r.bucket, r.set_id): sorted(r["items"]) for r in after.members.collect()}
+    assert {k for k in now if now[k] != before.get(k)} == {(bucket, 0)} and after.n_members == 241
+    assert after.pairs.count() == state.pairs.count()
+    more = {s: set(range(200, 500)) for s in (1, 2)}
+    grown = overlaps.apply_changes(after, changes(spark, [(s, list(items), 1) for s, items in more.items()]))
+    last = overlaps.compacted(overlaps.apply_changes(grown, changes(spark, [(3, [5], -1)])))
+    assert last.n_buckets > 12
+    sets = {s: items | more.get(s, set()) for s, items in sets.items()}
+    sets[0].add(1000)
+    sets[3].discard(5)
+    assert found(last, 0.1) == plain_pairs(sets, 0.1)
