@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, PIVOTS = 8192, 1024
+SAMPLE, PIVOTS = 6144, 1024
 # the least sample and number of pivots, rows per sample row and per pivot, and bytes of a shuffle partition of tiles
 LEAST_SAMPLE, LEAST_PIVOTS, PER_SAMPLE, PER_PIVOT, PART_BYTES = 4096, 256, 16, 128, 64 << 20
 ROWS = "cell int, bi int, bj int, side int, home boolean, cls long, ids array<long>, vec binary"
@@ -129,9 +129,12 @@ def _cover(near: np.ndarray, most: int, least: int) -> list[np.ndarray]:
         if counts[k] < least:
             break
         members = np.flatnonzero(near[k] & left)
-        groups.append(members)
         left[members] = False
-        counts -= near[members].sum(0, dtype=np.int32)  # near is symmetric
+        # near is symmetric, but for the last digits of a distance
+        counts -= near[members].sum(0, dtype=np.int32)
+        counts[k] = 0
+        if len(members) >= least:
+            groups.append(members)
     return groups
 
 
@@ -147,13 +150,14 @@ def fit(sample: np.ndarray, n_rows: int, radius: float, block_rows: int) -> Cell
     best = (float(m) ** 2, np.zeros((0, dims)), 0.0)
     if m > 8:
         small = (sample - sample.mean(0)).astype(np.float32)
-        strips = [distances(small[at : at + 512], small) for at in range(0, m, 512)]
-        nearest = np.quantile(np.concatenate([np.partition(x, 5, axis=1)[:, 5] for x in strips]), (0.1, 0.5))
+        strips = lambda: (distances(small[at : at + 512], small) for at in range(0, m, 512))
+        nearest = np.quantile(np.concatenate([np.partition(x, 5, axis=1)[:, 5] for x in strips()]), (0.1, 0.5))
         reaches = sorted({max(float(q), 1e-12) * f for q in nearest for f in (1, 1.5, 2, 3, 4, 6)})
-        # 16 bits will do: the distances only choose the cells
-        unit = reaches[-1] / 60_000
-        d = np.concatenate([np.minimum(x / unit, 65_535).astype(np.uint16) for x in strips])
-        d, strips = np.minimum(d, d.T), []
+        # 16 bits will do: the distances only choose the cells; strips are made twice, as the driver should not hold them
+        unit, d = reaches[-1] / 60_000, np.empty((m, m), np.uint16)
+        for at, x in zip(range(0, m, 512), strips(), strict=True):
+            np.minimum(x / unit, 65_535, out=x)
+            d[at : at + 512] = x
         for reach in reaches:
             groups = _cover(d <= np.uint16(reach / unit), most, 2)
             if not groups:
