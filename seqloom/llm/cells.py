@@ -14,7 +14,7 @@ where at least one of them is at home, by
 being y's nearest pivot). A cell of many rows is cut into blocks along a unit
 vector, and a row goes to the pairs of blocks whose stretches lie within the
 radius of its own. The rows of every block are then counted, and a block of more
-than ``block_rows`` is split further by class name, so no tile grows with the
+than twice ``block_rows`` is split further by class name, so no tile grows with the
 data, however badly the sample stands for it. Sample and pivots grow with the
 rows up to fixed bounds. The sample thus decides how much work there is, never
 what the result is.
@@ -240,7 +240,8 @@ def fitted(rows: DataFrame, radius: float, dims: int, block_rows: int) -> Cells:
     counted = rows.select("id", "vec").mapInArrow(count, "cell long, stretch long, n long, copies long").groupBy("cell", "stretch").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).collect()
     splits = [np.ones(len(x) + 1, np.int64) for x in cells.cuts]
     for r in counted:
-        splits[r["cell"]][r["stretch"]] = max(1, -(-r["n"] // block_rows))
+        # stretches are cut by the sample, so some have a little more than they should
+        splits[r["cell"]][r["stretch"]] = max(1, -(-r["n"] // (2 * block_rows)))
     copies = sum(r["copies"] * int(splits[r["cell"]][r["stretch"]]) for r in counted)
     return replace(cells, firsts=[np.concatenate(([0], np.cumsum(x))) for x in splits], parts=1 + copies * dims * 8 // PART_BYTES)
 

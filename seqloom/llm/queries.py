@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import density, mixing, overlaps, packing, similar, splitting
 from seqloom.llm.tokens import token_count
-from seqloom.operators.tables import long_coverage
+from seqloom.operators.tables import long_coverage, row_index
+from seqloom.plans.relational import _LONG
 from seqloom.session import cut, read
 
 LIMIT, OVERLAP = 2048, 64
@@ -77,7 +78,7 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _depths(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """``id, contig, vec``: a contig's mean depths by sample, 0 where it was not measured; the id is a hash of the name."""
+    """``id, contig, vec``: a contig's mean depths by sample, 0 where it was not measured; the id is the place of the name in order."""
     names = [r[0] for r in read(spark, d, "samples").select("sample_name").where("sample_name is not null").distinct().limit(MAX_SAMPLES + 1).collect()]
     if len(names) > MAX_SAMPLES:
         raise ValueError(f"more than {MAX_SAMPLES} samples")
@@ -86,14 +87,14 @@ def _depths(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     long = long_coverage(read(spark, d, "coverage")).select("contig", F.try_element_at(number, F.col("sample_name")).alias("s"), "mean")
     wide = long.groupBy("contig").pivot("s", list(range(len(names)))).agg(F.first("mean"))
     vec = F.array(*(F.coalesce(F.col(f"`{i}`"), F.lit(0.0)) for i in range(len(names))))
-    return wide.select(F.xxhash64("contig").alias("id"), "contig", vec.alias("vec")), len(names)
+    return row_index(wide.select("contig", vec.alias("vec")), ["contig"], "id"), len(names)
 
 
 def p4_depths(spark: SparkSession, d: str) -> DataFrame:
-    """The five contigs of the most similar mean depths for a twentieth of the contigs (by the hash of their name), against all."""
+    """The five contigs of the most similar mean depths for every contig whose place in the order of names is divisible by 20, against all."""
     rows, dims = _depths(spark, d)
     rows = cut(rows)
-    found = similar.neighbours(rows, rows.where("pmod(id, 20) = 0"), NEAREST, dims)
+    found = similar.neighbours(rows, rows.where("id % 20 = 0"), NEAREST, dims)
     name, other = rows.select("id", "contig"), rows.select(F.col("id").alias("neighbour"), F.col("contig").alias("neighbour_contig"))
     return found.join(name, "id").join(other, "neighbour").select("contig", "neighbour_contig", "distance", "rank")
 
@@ -205,6 +206,12 @@ ORACLE: dict[str, str] = {
       d as (select a.id, b.id as neighbour, list_distance(a.f, b.f) as distance from v a join v b on a.id <> b.id where a.id % 20 = 0),
       r as (select *, row_number() over (partition by id order by distance, neighbour) as rank from d)
       select id, neighbour, distance, cast(rank as int) as rank from r where rank <= 5""",
+    "p4_depths": f"""with {_LONG}, c as (select contig, row_number() over (order by contig) - 1 as id from (select distinct contig from l)),
+      s as (select distinct sample_name from samples where sample_name is not null),
+      v as (select c.id, c.contig, list(coalesce(l.mean, 0.0) order by s.sample_name) as f from c cross join s left join l on l.contig = c.contig and l.sample_name = s.sample_name group by 1, 2),
+      d as (select a.contig, b.contig as neighbour_contig, a.id, b.id as other, list_distance(a.f, b.f) as distance from v a join v b on a.id <> b.id where a.id % 20 = 0),
+      r as (select *, row_number() over (partition by id order by distance, other) as rank from d)
+      select contig, neighbour_contig, distance, cast(rank as int) as rank from r where rank <= 5""",
     "p6_found": f"""with recursive {_WHOLE},
       e as (select a.id as a, b.id as b from v a join v b on a.id <> b.id where list_distance(a.f, b.f) <= 0.05),
       walk as (select id, id as root from v union select e.b, w.root from walk w join e on e.a = w.id where w.root < e.b),
