@@ -274,10 +274,10 @@ _ALL_PAIRS = "select x.contig as a, y.contig as b, x.mean as ma, x.var as va, y.
 @query(f"""with {_EVENTS}, {_SPANS}, {_area(_ALL_PAIRS.format("x.contig % 10 = y.contig % 10 and x.contig < y.contig"), False)}
   select cast(a % 10 as int) as label, round(avg(distance), {DIGITS}) as mean_distance from dist group by 1""")
 def bin_metrics_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Mean coverage distance within bins: of the events' depths, in ten bins by index."""
+    """Mean coverage distance within bins: of the events' depths, in ten bins by index; a bin of a single contig has no pair and no row."""
     rows = _event_depths(spark, d).withColumn("label", (F.col("id") % 10).cast("int"))
     blocks = cut(B.pack(rows, "id", "vec", 2 * len(EVENTS), label="label", by_label=True))
-    return B.within_means(blocks, B.coverage, 2 * len(EVENTS)).select("label", F.round("mean_distance", DIGITS).alias("mean_distance"))
+    return B.within_means(blocks, B.coverage, 2 * len(EVENTS)).where("n > 1").select("label", F.round("mean_distance", DIGITS).alias("mean_distance"))
 
 
 @query(f"""with {_EVENTS}, {_SPANS}, {_area(_ALL_PAIRS.format("x.contig % 10 <> y.contig % 10"), False)}
