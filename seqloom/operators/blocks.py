@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions import distances as D
+from seqloom.session import cut
 
 BLOCK, QUERY_BLOCK = 2048, 512
 _BLOCK = "block long, label int, ids binary, labels binary, mat binary"
@@ -88,11 +89,116 @@ def areas(ma: np.ndarray, va: np.ndarray, mb: np.ndarray, vb: np.ndarray, strict
     return np.where(present, np.maximum(np.where((ma == mb) & same, 0.0, area), D.FLOOR), np.nan)
 
 
+# the normal distribution function less a half, and its density, at every 1 / NODES up to FAR
+NODES, FAR = 1024, 9
+_AT = np.arange(-FAR * NODES, FAR * NODES + 1) / NODES
+_HALVES, _DENSITY = normal_cdf(_AT) - 0.5, np.exp(-_AT * _AT / 2) / D.ROOT_TWO_PI
+# pairs of a sample taken at once, and samples whose areas are multiplied before a logarithm (FLOOR^30 is no underflow)
+STRIP, TOGETHER = 1 << 16, 30
+
+
+def _halves(z: np.ndarray, at: np.ndarray, index: np.ndarray, work: tuple[np.ndarray, ...]) -> np.ndarray:
+    """``normal_cdf(z) - 0.5`` to 1e-15: the nearest node's series up to the third power, in the arrays of *work*; *z* is lost."""
+    near, there, slope = work
+    np.minimum(z, FAR, out=z)
+    np.maximum(z, -FAR, out=z)
+    np.multiply(z, NODES, out=near)
+    np.rint(near, out=near)
+    np.add(near, FAR * NODES, out=at)
+    index[...] = at
+    near *= 1 / NODES
+    z -= near
+    np.take(_HALVES, index, out=there, mode="clip")
+    np.take(_DENSITY, index, out=slope, mode="clip")
+    # there + slope * z * (1 - near * z / 2 + ((near * z)^2 - z^2) / 6)
+    slope *= z
+    np.multiply(near, z, out=at)
+    np.multiply(at, at, out=near)
+    z *= z
+    near -= z
+    near *= 1 / 6
+    at *= 0.5
+    near -= at
+    near += 1
+    near *= slope
+    near += there
+    return near
+
+
 def coverage(x: np.ndarray, y: np.ndarray, strict: bool = False) -> np.ndarray:
-    """Geometric means of the samples' areas; vectors hold mean and variance in turn."""
+    """Geometric means of the samples' areas; vectors hold mean and variance in turn.
+
+    The densities of a pair cross where ``(root * s -+ gap of means * s') / gap of variances``
+    deviations lie from either mean, so square roots and logarithms of the variances are
+    taken once a row. Pairs of nearly equal variances are left to ``areas``.
+    """
+    if strict:
+        return coverage_strict(x, y)
+    ma, mb = x[:, 0::2] + D.SHIFT, np.ascontiguousarray(y[:, 0::2].T) + D.SHIFT
+    va, vb = np.maximum(x[:, 1::2] + D.SHIFT, D.LEAST_VARIANCE), np.maximum(np.ascontiguousarray(y[:, 1::2].T) + D.SHIFT, D.LEAST_VARIANCE)
+    sa, sb, la, lb = np.sqrt(va), np.sqrt(vb), np.log(va), np.log(vb)
+    out, samples = np.ones((len(x), len(y))), ma.shape[1]
+    if not out.size:
+        return out
+    step = max(1, STRIP // len(y))
+    held = np.empty((9, min(step, len(x)), len(y)))
+    numbers = np.empty(held.shape[1:], np.intp)
+    for at in range(0, len(x), step):
+        r = slice(at, min(at + step, len(x)))
+        gap, means, root, z, w, product, area, *work = held[:, : r.stop - at]
+        work, index = (w, *work), numbers[: r.stop - at]
+        logs, told = out[r], np.zeros((r.stop - at, len(y)), np.int32)
+        logs[...] = 0
+        product.fill(1)
+        for s in range(samples):
+            left, right = sa[r, s, None], sb[s]
+            np.subtract(va[r, s, None], vb[s], out=gap)
+            np.subtract(ma[r, s, None], mb[s], out=means)
+            np.subtract(la[r, s, None], lb[s], out=root)
+            root *= gap
+            np.multiply(means, means, out=z)
+            root += z
+            np.sqrt(root, out=root)
+            np.abs(gap, out=w)
+            close = w < D.SAME_VARIANCE
+            # crossings that are one
+            np.multiply(root, left, out=z)
+            z *= 2 * right
+            w *= D.SHIFT
+            close |= z < w
+            np.copyto(gap, 1, where=close)
+            means /= gap
+            root /= gap
+            area.fill(0)
+            for narrow, wide, add in ((left, right, np.add), (right, left, np.subtract)):
+                for turn in (np.subtract, np.add):
+                    np.multiply(root, wide, out=z)
+                    np.multiply(means, narrow, out=w)
+                    turn(z, w, out=z)
+                    add(area, _halves(z, gap, index, work), out=area)
+            np.abs(area, out=area)
+            np.maximum(area, D.FLOOR, out=area)
+            i, j = np.nonzero(close)
+            if len(i):
+                area[i, j] = areas(x[i + at, 2 * s], x[i + at, 2 * s + 1], y[j, 2 * s], y[j, 2 * s + 1], False)
+            present = (ma[r, s, None] > D.SHIFT) | (mb[s] > D.SHIFT)
+            np.copyto(area, 1, where=~present)
+            told += present
+            product *= area
+            if s % TOGETHER == TOGETHER - 1 or s == samples - 1:
+                logs += np.log(product)
+                product.fill(1)
+        # without a told sample the mean is that of an area of 1
+        logs /= np.maximum(told, 1)
+        np.exp(logs, out=logs)
+    return out
+
+
+def coverage_strict(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``coverage`` with the sign and the skipped samples of the plain formula."""
     out = np.empty((len(x), len(y)))
     for i, row in enumerate(x):
-        area = areas(row[0::2], row[1::2], y[:, 0::2], y[:, 1::2], strict)
+        area = areas(row[0::2], row[1::2], y[:, 0::2], y[:, 1::2], True)
         told = ~np.isnan(area)
         with np.errstate(divide="ignore", invalid="ignore"):
             logs = np.where(area == -np.inf, np.nan, np.log(np.where(told & (area >= 0), area, 1.0)))
@@ -101,10 +207,6 @@ def coverage(x: np.ndarray, y: np.ndarray, strict: bool = False) -> np.ndarray:
     return out
 
 
-def coverage_strict(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return coverage(x, y, True)
-
-
 def pack(rows: DataFrame, id_: str, vec: str, dims: int, size: int = BLOCK, label: str | None = None, by_label: bool = False) -> DataFrame:
     """*rows* as matrix blocks of at most *size* rows, made where the rows lie. With *by_label* a block holds one label."""
 
@@ -206,6 +308,73 @@ def label_sums(blocks: DataFrame, kernel: Kernel, dims: int) -> DataFrame:
     return sums.groupBy("id", "label", "other_label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def pair_sums(rows: DataFrame, kernel: Kernel, dims: int, size: int = BLOCK, spread: int = 12) -> DataFrame:
+    """``label, other_label, total, n``: distances between the rows (``label, vec``) of different labels, for a symmetric *kernel*.
+
+    Nothing is told of single rows, so equal vectors are measured once and counted as
+    often as they stand, each pair of blocks is measured from one side, and blocks of
+    one and the same label do not meet. Rows count as different, whatever they hold.
+    """
+    held = rows.where("label is not null and vec is not null").groupBy("vec", "label").agg(F.count(F.lit(1)).alias("n"))
+    classes = held.groupBy("vec").agg(F.collect_list(F.struct("label", "n")).alias("in"))
+    # classes of a single label lie together, by that label; those of several apart
+    only = F.when(F.size("in") == 1, F.col("in")[0]["label"])
+    classes = classes.select(only.alias("only"), F.col("in.label").alias("labels"), F.col("in.n").alias("counts"), "vec")
+
+    def pack_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        kept: list[tuple[int, list[int], list[int], np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            known, at = np.unique(np.concatenate([k[1] for k in kept]), return_inverse=True)
+            weights = np.zeros((len(kept), len(known)))
+            weights[np.repeat(np.arange(len(kept)), [len(k[1]) for k in kept]), at] = np.concatenate([k[2] for k in kept])
+            parts = (known.astype(np.int64), weights, np.stack([k[3] for k in kept]))
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([kept[0][0]], pa.int32()), *(pa.array([z.tobytes()], pa.binary()) for z in parts)], ["block", "only", "labels", "weights", "mat"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = np.array(row["vec"], float)
+                if len(x) != dims or np.isnan(x).any():
+                    continue
+                if kept and (len(kept) == size or row["only"] != kept[0][0]):
+                    yield block()
+                    kept, number = [], number + 1
+                kept.append((row["only"], row["labels"], row["counts"], x))
+        if kept:
+            yield block()
+
+    packed = cut(classes.repartition("only").sortWithinPartitions("only").mapInArrow(pack_classes, "block long, only int, labels binary, weights binary, mat binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda c, t, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_py(), t)
+                a, b = get("labels_a", np.int64), get("labels_b", np.int64)
+                w, v = get("weights_a", float).reshape(-1, len(a)), get("weights_b", float).reshape(-1, len(b))
+                total = w.T @ kernel(get("mat_a", float).reshape(-1, dims), get("mat_b", float).reshape(-1, dims)) @ v
+                n = np.outer(w.sum(0), v.sum(0)).astype(np.int64)
+                if batch.column("block_a")[i].as_py() != batch.column("block_b")[i].as_py():
+                    a, b, total, n = (np.concatenate(z) for z in ((np.repeat(a, len(b)), np.tile(b, len(a))), (np.tile(b, len(a)), np.repeat(a, len(b))), (total.ravel(), total.ravel()), (n.ravel(), n.ravel())))
+                else:
+                    a, b, total, n = np.repeat(a, len(b)), np.tile(b, len(a)), total.ravel(), n.ravel()
+                k = np.flatnonzero(a != b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[k], pa.int32()), pa.array(b[k], pa.int32()), pa.array(total[k]), pa.array(n[k])], ["label", "other_label", "total", "n"])
+
+    # every task has some blocks of either side; which side a pair is measured from is drawn, so that all have about as much
+    parts = max(1, min(spread, packed.count()))
+    a, b = (_sided(packed.repartition(parts, "block"), s) for s in "ab")
+    drawn = F.pmod(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")), F.lit(2)) == 0
+    once = (F.col("block_a") == F.col("block_b")) & F.col("only_a").isNull() | (F.col("block_a") != F.col("block_b")) & (drawn == (F.col("block_a") < F.col("block_b")))
+    # null only where both are null, which have to meet
+    apart = F.coalesce(F.col("only_a") != F.col("only_b"), F.lit(True))
+    tiles = a.hint("shuffle_replicate_nl").join(b, once & apart)
+    sums = tiles.mapInArrow(run, "label int, other_label int, total double, n long")
+    return sums.groupBy("label", "other_label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def within_means(blocks: DataFrame, kernel: Kernel, dims: int) -> DataFrame:
     """``label, n, mean_distance``: mean over the pairs of each label's rows (blocks packed *by_label*); NaN for a single row. A label's tiles are spread over tasks."""
 

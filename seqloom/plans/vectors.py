@@ -285,8 +285,7 @@ def bin_metrics_depth(spark: SparkSession, d: str) -> DataFrame:
 def linkage_depth(spark: SparkSession, d: str) -> DataFrame:
     """Average linkage of the same bins by coverage distance."""
     rows = _event_depths(spark, d).withColumn("label", (F.col("id") % 10).cast("int"))
-    blocks = cut(B.pack(rows, "id", "vec", 2 * len(EVENTS), label="label"))
-    return B.linkage(B.label_sums(blocks, B.coverage, 2 * len(EVENTS))).withColumn("mean_distance", F.round("mean_distance", DIGITS))
+    return B.linkage(B.pair_sums(rows, B.coverage, 2 * len(EVENTS))).withColumn("mean_distance", F.round("mean_distance", DIGITS))
 
 
 _SKETCHED = rf"""{_HASHES}, i as (select id, name from (select contig_idx as id, regexp_extract(contig, '(\S+)', 1) as name from sketch where contig is not null and contig_idx is not null) group by 1, 2),
